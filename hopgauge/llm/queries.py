@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, packing
+from hopgauge.llm import chat, packing, simhash
 
 QUERIES = {
     "op3_best_fit_packing": packing.query,
+    "op5_simhash_anchors": simhash.query,
     "op7_chat_formatting": chat.query,
 }
 
