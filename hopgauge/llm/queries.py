@@ -1,13 +1,15 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, packing, simhash
+from hopgauge.llm import chat, packing, quality, simhash
 
 QUERIES = {
+    "op2_risk_controlled_rules": quality.query,
     "op3_best_fit_packing": packing.query,
     "op5_simhash_anchors": simhash.query,
     "op7_chat_formatting": chat.query,
 }
 
 ORACLES = {
+    "op2_risk_controlled_rules": quality.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
 }
