@@ -1,10 +1,11 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, packing, quality, simhash
+from hopgauge.llm import chat, packing, quality, simhash, tokencount
 
 QUERIES = {
     "op2_risk_controlled_rules": quality.query,
     "op3_best_fit_packing": packing.query,
+    "op4_transducer_token_counts": tokencount.query,
     "op5_simhash_anchors": simhash.query,
     "op7_chat_formatting": chat.query,
 }
