@@ -14,6 +14,8 @@ row; other columns are ignored; an empty table gives an empty table. Texts are n
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -28,49 +30,66 @@ from hopgauge.llm.common import partitions, table, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Most entries of a worker's memory of tokenized words; it is emptied when full.
-MEMORY = 1 << 20
+MEMORY = 1 << 19
+#: Letters that neither normalization nor context changes but to lower case, then signs that start no contraction or special token.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#*%$&|>()\"-]*)")
 
 
-class Encoder:
-    """The ids that a tokenizer of the ``tokenizers`` library gives a text, with a memory of words.
-
-    For a tokenizer that drops white space: ASCII white space always ends a token there, so words between are encoded one by one,
-    by the library's own steps (normalize, split, merge).
-    """
+class _Words(dict):
+    """ids of a word (bytes), found on first use."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if plain := PLAIN.fullmatch(text):
+            letters, signs = plain.groups()
+            ids = self._part(letters.lower())
+            if signs:
+                ids += self._part(signs)
+        elif any(s in text for s in self.special):
+            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = self._ids(self.whole.normalizer.normalize_str(text))
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        if (ids := self.parts.get(part)) is None:
+            if len(self.parts) >= MEMORY:
+                self.parts.clear()
+            ids = self.parts[part] = self._ids(part)
+        return ids
+
+    def _ids(self, text: str) -> bytes:
+        merge = self.whole.model.tokenize
+        return pack_ids([t.id for part, _ in self.whole.pre_tokenizer.pre_tokenize_str(text) for t in merge(part)])
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Encoder:
+    """The ids that a tokenizer of the ``tokenizers`` library gives a text, with a memory of words.
+
+    For a tokenizer that drops white space: ASCII white space always ends a token there, so words between are encoded one by one,
+    by the library's own steps (normalize, split, merge). Words that are letters, then signs, fall into just these two parts.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.words = _Words(path)
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            known = self.words
-            if len(known) > MEMORY:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w.decode())
-            return b"".join(map(known.__getitem__, words))
-
-    def _word(self, word: str) -> bytes:
-        if any(s in word for s in self.special):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.parts) > MEMORY:
-            self.parts.clear()
-        out = []
-        for part, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(word)):
-            if (ids := self.parts.get(part)) is None:
-                ids = self.parts[part] = np.array([t.id for t in self.whole.model.tokenize(part)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
 
 _encoders: dict[str, Encoder] = {}
