@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, packing, quality, simhash, tokencount
+from hopgauge.llm import chat, packing, quality, simhash, substring, tokencount
 
 QUERIES = {
     "op2_risk_controlled_rules": quality.query,
@@ -8,9 +8,11 @@ QUERIES = {
     "op4_transducer_token_counts": tokencount.query,
     "op5_simhash_anchors": simhash.query,
     "op7_chat_formatting": chat.query,
+    "op8_phrase_automata": substring.query,
 }
 
 ORACLES = {
     "op2_risk_controlled_rules": quality.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
+    "op8_phrase_automata": substring.ORACLE,
 }
