@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, packing, quality, simhash, substring, tokencount
+from hopgauge.llm import chat, packing, quality, simhash, substring, tokencount, toxicity
 
 QUERIES = {
+    "op1_convolutional_toxicity": toxicity.query,
     "op2_risk_controlled_rules": quality.query,
     "op3_best_fit_packing": packing.query,
     "op4_transducer_token_counts": tokencount.query,
