@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, packing, quality, simhash, substring, tokencount, toxicity
+from hopgauge.llm import chat, packing, pii, quality, simhash, substring, tokencount, toxicity
 
 QUERIES = {
     "op1_convolutional_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash_anchors": simhash.query,
     "op7_chat_formatting": chat.query,
     "op8_phrase_automata": substring.query,
+    "op10_keyed_surrogates": pii.query,
 }
 
 ORACLES = {
