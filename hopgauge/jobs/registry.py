@@ -1,6 +1,366 @@
-"""Queries of the link and satellite jobs by name, and their SQL."""
+"""Queries of the link and satellite jobs by name, and their SQL.
+
+The SQL is written in other terms than the operators: sliding frames against running sums, first_value over the frame ahead
+against a reversed order, range joins against array functions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hopgauge.functions.columns import SERIES, gigahertz, gigahertz_of_table
+from hopgauge.jobs import fixtures as fx
+from hopgauge.operators import gaps, geo, quality, rolling
+from hopgauge.sources import scenes
+
+EDGES = [float(k) for k in range(9)]
+KEY = "cml_id, sublink_id, idx"
+_P = "PARTITION BY cml_id, sublink_id"
+_W = f"{_P} ORDER BY idx"
+
+
+def _edges():
+    return F.array(*[F.lit(e) for e in EDGES])
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.with_index(fx.samples(spark, d))
+
+
+def _masked(spark: SparkSession, d: str, c: quality.Config = quality.Config()) -> DataFrame:
+    df = quality.with_plateaus(_samples(spark, d), "rsl", c)
+    return df.withColumns({n: F.when(F.col("isSane_plateaus_rsl"), F.col(n)) for n in ("tsl", "rsl")})
+
+
+def _processed(spark: SparkSession, d: str, **c) -> DataFrame:
+    return quality.process_samples(_samples(spark, d), quality.Config(**c))
+
+
+def _judged(spark: SparkSession, d: str, **c) -> DataFrame:
+    config = quality.Config(**c)
+    return quality.run(fx.samples(spark, d), fx.links(spark, d), fx.sublinks(spark, d), config).sublinks
+
+
+def _double(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 3) for n in names})
+
+
+# --- SQL of the chain ------------------------------------------------------------------------------------------------
+
+
+def _frame(n: int) -> str:
+    return f"OVER ({_W} ROWS BETWEEN {n // 2} PRECEDING AND {n - n // 2 - 1} FOLLOWING)"
+
+
+def _plateaus(strict: bool) -> str:
+    f, g = _frame(3), _frame(5)
+    full = f"count(rsl) {f} = 3 AND " if strict else ""
+    steady = f"CAST(sqrt(var_pop(rsl::DOUBLE) {f}) AS FLOAT) < 0.5" if strict else f"CAST(var_pop(rsl::DOUBLE) {f} AS FLOAT) < 0.25"
+    wide = f" AND count(*) {g} = 5" if strict else ""
+    return f"""cores AS (SELECT *, {full}coalesce(max(rsl) {f} < -85, false) AND coalesce({steady}, false) AS core FROM samples),
+plateaus AS (SELECT *, NOT (bool_or(core) {g}{wide}) AS sane FROM cores),
+masked AS (SELECT {KEY}, time, CASE WHEN sane THEN tsl END AS tsl, CASE WHEN sane THEN rsl END AS rsl, sane FROM plateaus)"""
+
+
+def _near(name: str, source: str, x: str, more: str = "*") -> str:
+    back, ahead = f"OVER ({_W} ROWS UNBOUNDED PRECEDING)", f"OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    have = lambda c: f"CASE WHEN {x} IS NOT NULL THEN {c} END IGNORE NULLS"
+    return f"""{name} AS (SELECT {more},
+  last_value({have("idx")}) {back} AS bi, last_value({have("epoch(time)")}) {back} AS bt, last_value({have(x)}) {back} AS bv,
+  first_value({have("idx")}) {ahead} AS ai, first_value({have("epoch(time)")}) {ahead} AS nt, first_value({have(x)}) {ahead} AS av FROM {source})"""
+
+
+_GAP = f"CASE WHEN rsl IS NULL THEN CAST(coalesce(ai, {fx.SLOTS}) - coalesce(bi, -1) - 1 AS INT) ELSE 0 END"
+_FLAG = f"rsl IS NULL AND {_GAP} <= 60 AND (coalesce(bv < -65, false) OR coalesce(av < -65, false))"
+
+
+def _filled(strict: bool, source: str = "masked") -> str:
+    able = "true" if strict else f"count(tsl) OVER ({_P}) > 0 AND count(rsl) OVER ({_P}) > 0"
+    return f"""{_near("near", source, "rsl")},
+blackouts AS (SELECT {KEY}, time, tsl, rsl, sane, {_FLAG} AS flag FROM near),
+filled AS (SELECT {KEY}, time, sane, flag, CASE WHEN flag AND ({able}) THEN max(tsl) OVER ({_P}) ELSE tsl END AS tsl,
+  CASE WHEN flag AND ({able}) THEN min(rsl) OVER ({_P}) ELSE rsl END AS rsl FROM blackouts)"""
+
+
+def _interpolated(strict: bool, seconds: int = 300) -> str:
+    line = "bv::DOUBLE + (av::DOUBLE - bv::DOUBLE) * (epoch(time) - bt) / (nt - bt)" if strict else "bv::DOUBLE + (av::DOUBLE - bv::DOUBLE) * (idx - bi) / (ai - bi)"
+    fits = f"nt - bt <= {seconds}" if strict else "ai - bi - 1 <= 5"
+    return f"""lost AS (SELECT *, tsl - rsl AS loss FROM filled),
+{_near("open", "lost", "loss")},
+processed AS (SELECT {KEY}, time, sane, flag, tsl, rsl, CASE WHEN loss IS NULL AND bi IS NOT NULL AND ai IS NOT NULL AND {fits} THEN CAST({line} AS FLOAT) ELSE loss END AS trsl FROM open)"""
+
+
+def _chain(proc_line: str, strict: bool = False, seconds: int = 300) -> str:
+    plain = f"filled AS (SELECT {KEY}, time, true AS sane, false AS flag, tsl, rsl FROM samples)"
+    parts = [f"WITH {fx.SAMPLES}", f"{_plateaus(strict)},\n{_filled(strict)}" if proc_line == "full" else plain]
+    parts.append(f"processed AS (SELECT {KEY}, time, sane, flag, tsl, rsl, tsl - rsl AS trsl FROM filled)" if proc_line == "no_filter" else _interpolated(strict, seconds))
+    return ",\n".join(parts)
+
+
+def _counts(strict: bool) -> str:
+    def of(name: str, n: int, limit: float) -> str:
+        value = f"var_pop(trsl::DOUBLE) {_frame(n)}"
+        value = f"CASE WHEN count(trsl) {_frame(n)} = {n} THEN CAST(sqrt({value}) AS FLOAT) END" if strict else f"CAST({value} AS FLOAT)"
+        return f"{value} > {limit if strict else limit * limit} AS {name}"
+
+    return f"""windows AS (SELECT {KEY}, trsl, {of("l", 300, 2.0)}, {of("s", 60, 0.8)} FROM processed),
+counts AS (SELECT cml_id, sublink_id, count(*) FILTER (l) AS long_high, count(l) AS long_valid, count(*) FILTER (s) AS short_high, count(s) AS short_valid,
+  count(*) - count(trsl) AS missing, count(*) AS samples FROM windows GROUP BY ALL)"""
+
+
+def _judgement(proc_line: str, strict: bool = False) -> str:
+    unit = "CASE WHEN (SELECT max(frequency) FROM sublinks) > 1000 THEN frequency / 1e9 ELSE frequency END" if strict else "CASE WHEN frequency > 1000 THEN frequency / 1e9 ELSE frequency END"
+    both = "coalesce(long_high / nullif(long_valid, 0) <= 0.1, false) AND coalesce(short_high / nullif(short_valid, 0) <= 0.33, false)"
+    sane = {"no_filter": "true", "graf_2020": both, "full": f"{both} AND coalesce(detection_limit < 2, false) AND missing / samples < 0.5"}[proc_line]
+    return f"""{_chain(proc_line, strict)},
+{_counts(strict)},
+{fx.STATICS},
+{fx.LINKS},
+known AS (SELECT c.*, CAST(0.33 / nullif(4.21e-5 * pow({unit}, 2.42) * length_km, 0) AS FLOAT) AS detection_limit FROM counts c LEFT JOIN sublinks USING (cml_id, sublink_id) LEFT JOIN links USING (cml_id)),
+judged AS (SELECT cml_id, sublink_id, round(detection_limit::DOUBLE, 3) AS detection_limit, coalesce(detection_limit < 2, false) AS "isSane_detection_limit",
+  coalesce(long_high / nullif(long_valid, 0) <= 0.1, false) AS "isSane_std_long", coalesce(short_high / nullif(short_valid, 0) <= 0.33, false) AS "isSane_std_short",
+  missing / samples < 0.5 AS "isSane_available", {sane} AS "isSane_sublink" FROM known)"""
+
+
+_JUDGED = ("cml_id", "sublink_id", "detection_limit", "isSane_detection_limit", "isSane_std_long", "isSane_std_short", "isSane_available", "isSane_sublink")
+
+
+def _qc(proc_line: str, strict: bool = False):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return _double(_judged(spark, d, proc_line=proc_line, strict=strict).select(*_JUDGED), "detection_limit")
+
+    return query, f"{_judgement(proc_line, strict)}\nSELECT * FROM judged"
+
+
+# --- queries ---------------------------------------------------------------------------------------------------------
+
+
+def src_scene_catalog(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("/scenes/SEVIRI_"), F.date_format("ts", "yyyyMMdd"), F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("_"), F.date_format("ts", "HHmmss"))), F.lit(".nc"))
+    files = fx.table(spark, d, "events").select(name.alias("path"))
+    return scenes.catalogue(files, "2024-01-05 00:00:00", "2024-01-20 12:00:00").withColumn("scene_time", F.col("scene_time").cast("timestamp_ntz"))
+
+
+def agg_error_counters(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("SEVIRI_"), F.date_format("ts", "yyyyMMdd"), F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit("_"), F.date_format("ts", "HHmmss"))), F.lit("_"), F.col("event_id").cast("string"))
+    events = fx.table(spark, d, "events").select(name.alias("path"), F.when(F.col("event_type") == "error", F.concat(F.lit("no time for user "), F.col("user_id").cast("string"))).alias("error"))
+    return scenes.outcome_counts(events)
+
+
+def prj_unit_rule(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.statics(spark, d)
+    by_table = gigahertz_of_table(s).select("pos", F.round(F.col("frequency"), 9).alias("by_table"))
+    return s.select("pos", F.round(gigahertz(F.col("frequency")), 6).alias("by_value")).join(by_table, "pos")
+
+
+def prj_trsl(spark: SparkSession, d: str) -> DataFrame:
+    return _double(_samples(spark, d).select(*SERIES, "idx", quality.total_loss(F.col("tsl"), F.col("rsl")).alias("trsl")), "trsl")
+
+
+def win_rolling_std(spark: SparkSession, d: str) -> DataFrame:
+    df = rolling.with_rolling_variance(fx.samples(spark, d), "rsl", {"w60": 60, "w300": 300})
+    over = lambda n, x: F.count_if(F.sqrt(n) > x).alias(f"{n}_over_{str(x).replace('.', '')}")
+    return df.groupBy(*SERIES).agg(*[over(n, x) for n in ("w60", "w300") for x in (0.3, 1.0, 2.5)], F.count("w60").alias("w60_valid"), F.count("w300").alias("w300_valid"))
+
+
+def win_rolling_max(spark: SparkSession, d: str) -> DataFrame:
+    df = _samples(spark, d)
+    return _double(df.select(*SERIES, "idx", *[rolling.rolling_max(F.col("rsl"), n).alias(f"m{n}") for n in (3, 5, 60)]), "m3", "m5", "m60")
+
+
+def _plateau(strict: bool):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return quality.with_plateaus(_samples(spark, d), "rsl", quality.Config(strict=strict)).select(*SERIES, "idx", "isSane_plateaus_rsl")
+
+    return query, f'WITH {fx.SAMPLES}, {_plateaus(strict)} SELECT {KEY}, sane AS "isSane_plateaus_rsl" FROM plateaus'
+
+
+def win_gap_runs(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.with_neighbours(_samples(spark, d), F.col("rsl")).select(*SERIES, "idx", "before_idx", "after_idx", "gap")
+
+
+def win_blackout_mask(spark: SparkSession, d: str) -> DataFrame:
+    return gaps.with_blackouts(_masked(spark, d), "rsl").select(*SERIES, "idx", "flag_blackout_fill")
+
+
+def win_blackout_fill(spark: SparkSession, d: str) -> DataFrame:
+    df = gaps.fill_blackouts(gaps.with_blackouts(_masked(spark, d), "rsl"), "tsl", "rsl")
+    return _double(df.select(*SERIES, "idx", "tsl", "rsl"), "tsl", "rsl")
+
+
+def win_interpolate(spark: SparkSession, d: str) -> DataFrame:
+    return _double(_processed(spark, d).select(*SERIES, "idx", "trsl"), "trsl")
+
+
+def strict_interpolate(spark: SparkSession, d: str) -> DataFrame:
+    return _double(_processed(spark, d, strict=True, interpolate_seconds=10_800).select(*SERIES, "idx", "trsl"), "trsl")
+
+
+def _temporal(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        counts = quality.rolling_counts(_processed(spark, d), "trsl", {"long": (300, 2.0), "short": (60, 0.8)})
+        share = {"long": 0.1, "short": 0.33}[name]
+        return counts.select(*SERIES, f"{name}_high", f"{name}_valid", quality.few_high(name, share).alias("passes"))
+
+    share = {"long": 0.1, "short": 0.33}[name]
+    return query, f"{_chain('full')}, {_counts(False)} SELECT cml_id, sublink_id, {name}_high, {name}_valid, coalesce({name}_high / nullif({name}_valid, 0) <= {share}, false) AS passes FROM counts"
+
+
+def agg_availability(spark: SparkSession, d: str) -> DataFrame:
+    missing = F.count_if(F.col("trsl").isNull())
+    out = _processed(spark, d).groupBy(*SERIES).agg(missing.alias("missing"), F.count(F.lit(1)).alias("samples"))
+    return out.withColumn("isSane_available", F.try_divide("missing", "samples") < 0.5)
+
+
+def mth_detection_limit(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.statics(spark, d)
+    out = s.select("pos", quality.detection_limit(F.col("length_km"), gigahertz(F.col("frequency"))).alias("detection_limit"))
+    return _double(out.withColumn("passes", F.coalesce(F.col("detection_limit") < 2, F.lit(False))), "detection_limit")
+
+
+def qc_link(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge_links(_judged(spark, d))
+
+
+def flt_first_links(spark: SparkSession, d: str) -> DataFrame:
+    s = fx.statics(spark, d)
+    return quality.first_links(s.withColumn("cml_id", F.col("pos")), s.select(F.col("pos").alias("cml_id"), "pos"), 10).select("cml_id", "length_km", "frequency")
+
+
+def geo_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Cells around the distinct retail prices of the parts of a size."""
+    centres = fx.table(spark, d, "part").groupBy("p_size").agg(F.array_sort(F.collect_set(F.col("p_retailprice").cast("double"))).alias("c"))
+    edges = centres.select("p_size", geo.cell_edges(F.col("c")).alias("e")).where("e IS NOT NULL")
+    return edges.select("p_size", F.posexplode("e").alias("k", "edge")).withColumn("edge", F.round("edge", 4))
+
+
+def geo_clip(spark: SparkSession, d: str) -> DataFrame:
+    df = geo.with_clip(fx.endpoints(spark, d), _edges(), _edges())
+    return df.select("cml_id", F.round("t0", 9).alias("t0"), F.round("t1", 9).alias("t1"))
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return geo.path_weights(geo.segments(fx.endpoints(spark, d), _edges(), _edges()), F.lit(8))
+
+
+def geo_path_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _weights(spark, d).where("wt > 1e-9").select("cml_id", "pix", F.round(F.col("wt").cast("double"), 5).alias("wt"))
+
+
+def geo_link_coverage(spark: SparkSession, d: str) -> DataFrame:
+    links = fx.endpoints(spark, d)
+    return geo.link_coverage(links, geo.segments(links, _edges(), _edges()).where("weight > 1e-9")).withColumn("intersects", F.col("intersects").cast("int"))
+
+
+def geo_projection(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    x, y = geo.geostationary((k * 37) % 240 - 120, (k * 53) % 150 - 75, 35785831.0, 0.0, 6378169.0, 6356583.8)
+    return fx.table(spark, d, "supplier").select(k.cast("long").alias("cml_id"), F.round(x / 1000, 4).alias("x_km"), F.round(y / 1000, 4).alias("y_km"))
+
+
+def agg_path_mean(spark: SparkSession, d: str) -> DataFrame:
+    return _double(geo.path_means(fx.rasters(spark, d), _weights(spark, d)), "path_mean")
+
+
+def agg_path_mean_dense(spark: SparkSession, d: str) -> DataFrame:
+    pixels = fx.rasters(spark, d)
+    names = fx.table(spark, d, "embeddings")
+    channels, scene = names.select(F.col("label").alias("channel")).distinct(), names.select(F.col("vec_id").alias("scene_time")).distinct()
+    dense = geo.dense_means(geo.path_means(pixels, _weights(spark, d)), scene, fx.endpoints(spark, d), channels)
+    # the product itself is large, so the report counts it by channel and link
+    return dense.groupBy("channel", "cml_id").agg(F.count(F.lit(1)).alias("n_scenes"), F.count("path_mean").alias("n_means"))
+
+
+# --- SQL of the queries ----------------------------------------------------------------------------------------------
+
+_NAMED = "strftime(ts, '%Y%m%d') || CASE WHEN event_type = 'error' THEN '' ELSE '_' || strftime(ts, '%H%M%S') END"
+_CLIP = f"""{fx.ENDPOINTS}, d AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM endpoints),
+sides AS (
+  SELECT cml_id, -dx AS p, x0 AS q FROM d UNION ALL SELECT cml_id, dx, 8 - x0 FROM d UNION ALL SELECT cml_id, -dy, y0 FROM d UNION ALL SELECT cml_id, dy, 8 - y0 FROM d
+), bounds AS (
+  SELECT cml_id, greatest(0, max(q / p) FILTER (p <= -1e-15)) AS t0, least(1, min(q / p) FILTER (p >= 1e-15)) AS t1, bool_or(abs(p) < 1e-15 AND q < 0) AS outside FROM sides GROUP BY 1
+), clip AS (
+  SELECT d.*, CASE WHEN ok THEN t0 END AS t0, CASE WHEN ok THEN t1 END AS t1
+  FROM d JOIN (SELECT cml_id, t0, t1, NOT outside AND t0 < t1 AS in_ FROM bounds) USING (cml_id), LATERAL (SELECT in_ AND (dx <> 0 OR dy <> 0) AS ok)
+)"""
+_PIECES = f"""{_CLIP}, lines(e) AS (SELECT k::DOUBLE FROM range(9) AS t(k)),
+marks AS (
+  SELECT cml_id, t0 AS t FROM clip WHERE t0 IS NOT NULL UNION SELECT cml_id, t1 FROM clip WHERE t0 IS NOT NULL
+  UNION SELECT cml_id, greatest(t0, least(t1, (e - x0) / dx)) FROM clip JOIN lines ON abs(dx) > 1e-15 AND e > least(x0 + t0 * dx, x0 + t1 * dx) AND e < greatest(x0 + t0 * dx, x0 + t1 * dx)
+  UNION SELECT cml_id, greatest(t0, least(t1, (e - y0) / dy)) FROM clip JOIN lines ON abs(dy) > 1e-15 AND e > least(y0 + t0 * dy, y0 + t1 * dy) AND e < greatest(y0 + t0 * dy, y0 + t1 * dy)
+), ordered AS (
+  SELECT cml_id, t AS a, lead(t) OVER (PARTITION BY cml_id ORDER BY t) AS b FROM marks
+), pieces AS (
+  SELECT cml_id, CAST(floor(y0 + (a + b) / 2 * dy) AS BIGINT) AS r, CAST(floor(x0 + (a + b) / 2 * dx) AS BIGINT) AS c, b - a AS w
+  FROM ordered JOIN clip USING (cml_id) WHERE b IS NOT NULL
+), placed AS (
+  SELECT * FROM pieces WHERE r BETWEEN 0 AND 7 AND c BETWEEN 0 AND 7
+), weights AS (
+  SELECT cml_id, r * 8 + c AS pix, CAST(sum(w) / any_value(total) AS FLOAT) AS wt FROM placed JOIN (SELECT cml_id, sum(w) AS total FROM placed GROUP BY 1) USING (cml_id) GROUP BY 1, 2
+)"""
+_MEANS = f"""WITH {_PIECES}, {fx.RASTERS}, means AS (
+  SELECT scene_time, channel, cml_id, CAST(sum(value::DOUBLE * wt) / sum(wt::DOUBLE) AS FLOAT) AS path_mean FROM rasters JOIN weights USING (pix) WHERE value IS NOT NULL GROUP BY ALL
+)"""
+_GEOS = """WITH k AS (
+  SELECT CAST(s_suppkey AS BIGINT) AS cml_id, radians(s_suppkey * 37 % 240 - 120) AS turn, radians(s_suppkey * 53 % 150 - 75) AS lat, 6356583.8::DOUBLE / 6378169.0::DOUBLE AS p, 1 + 35785831.0::DOUBLE / 6378169.0::DOUBLE AS g FROM supplier
+), v AS (
+  SELECT *, p / sqrt(pow(p * cos(atan(p * p * tan(lat))), 2) + pow(sin(atan(p * p * tan(lat))), 2)) AS r, atan(p * p * tan(lat)) AS phi FROM k
+), s AS (
+  SELECT *, r * cos(turn) * cos(phi) AS vx, r * sin(turn) * cos(phi) AS vy, r * sin(phi) AS vz FROM v
+)
+SELECT cml_id, CASE WHEN seen THEN round(atan(vy / (g - vx)) * 35785.831, 4) END AS x_km, CASE WHEN seen THEN round(atan(vz / sqrt(vy * vy + (g - vx) * (g - vx))) * 35785.831, 4) END AS y_km
+FROM (SELECT *, (g - vx) * vx - vy * vy - vz * vz / (p * p) >= 0 AS seen FROM s)
+"""
+_STRICT_PLATEAU, _FAST_PLATEAU = _plateau(True), _plateau(False)
+_LONG, _SHORT = _temporal("long"), _temporal("short")
+_FULL, _GRAF, _NONE, _STRICT = _qc("full"), _qc("graf_2020"), _qc("no_filter"), _qc("full", True)
+
+
+def _rounded(*names: str) -> str:
+    return ", ".join(f"round({n}::DOUBLE, 3) AS {n}" for n in names)
+
+
+_BOTH = {
+    "src_scene_catalog": (src_scene_catalog, f"""SELECT path, strptime(regexp_extract(path, '[0-9]{{8}}_[0-9]{{6}}'), '%Y%m%d_%H%M%S') AS scene_time FROM (SELECT '/scenes/SEVIRI_' || {_NAMED} || '.nc' AS path FROM events WHERE event_type <> 'error')
+WHERE scene_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""),
+    "agg_error_counters": (agg_error_counters, f"""WITH s AS (SELECT 'SEVIRI_' || {_NAMED} || '_' || event_id AS path, CASE WHEN event_type = 'error' THEN 'no time for user ' || user_id END AS error FROM events)
+SELECT count(*) AS n_scenes, count(*) - count(error) AS n_written, count(error) AS n_failed, (SELECT string_agg(path || ': ' || error, '; ' ORDER BY path) FROM (SELECT * FROM s WHERE error IS NOT NULL ORDER BY path LIMIT 10)) AS first_errors FROM s"""),
+    "prj_unit_rule": (prj_unit_rule, f"WITH {fx.STATICS} SELECT pos, round(CASE WHEN frequency > 1000 THEN frequency / 1e9 ELSE frequency END, 6) AS by_value, round(CASE WHEN (SELECT max(frequency) FROM statics) > 1000 THEN frequency / 1e9 ELSE frequency END, 9) AS by_table FROM statics"),
+    "prj_trsl": (prj_trsl, f"WITH {fx.SAMPLES} SELECT {KEY}, round((tsl - rsl)::DOUBLE, 3) AS trsl FROM samples"),
+    "win_rolling_std": (win_rolling_std, f"""WITH {fx.SAMPLES}, s AS (SELECT *, stddev_pop(rsl::DOUBLE) {_frame(60)} AS a, stddev_pop(rsl::DOUBLE) {_frame(300)} AS b FROM samples)
+SELECT cml_id, sublink_id, {", ".join(f"count(*) FILTER ({c} > {x}) AS {n}_over_{str(x).replace('.', '')}" for c, n in (("a", "w60"), ("b", "w300")) for x in (0.3, 1.0, 2.5))}, count(a) AS w60_valid, count(b) AS w300_valid FROM s GROUP BY ALL"""),
+    "win_rolling_max": (win_rolling_max, f"WITH {fx.SAMPLES} SELECT {KEY}, {', '.join(f'round((max(rsl) {_frame(n)})::DOUBLE, 3) AS m{n}' for n in (3, 5, 60))} FROM samples"),
+    "win_plateau": _FAST_PLATEAU,
+    "strict_plateau": _STRICT_PLATEAU,
+    "win_gap_runs": (win_gap_runs, f"WITH {fx.SAMPLES}, {_near('near', 'samples', 'rsl')} SELECT {KEY}, bi AS before_idx, ai AS after_idx, {_GAP} AS gap FROM near"),
+    "win_blackout_mask": (win_blackout_mask, f"WITH {fx.SAMPLES}, {_plateaus(False)}, {_filled(False)} SELECT {KEY}, flag AS flag_blackout_fill FROM filled"),
+    "win_blackout_fill": (win_blackout_fill, f"WITH {fx.SAMPLES}, {_plateaus(False)}, {_filled(False)} SELECT {KEY}, {_rounded('tsl', 'rsl')} FROM filled"),
+    "win_interpolate": (win_interpolate, f"{_chain('full')} SELECT {KEY}, {_rounded('trsl')} FROM processed"),
+    "strict_interpolate": (strict_interpolate, f"{_chain('full', True, 10_800)} SELECT {KEY}, {_rounded('trsl')} FROM processed"),
+    "win_temporal_long": _LONG,
+    "win_temporal_short": _SHORT,
+    "agg_availability": (agg_availability, f"{_chain('full')} SELECT cml_id, sublink_id, count(*) - count(trsl) AS missing, count(*) AS samples, (count(*) - count(trsl)) / count(*) < 0.5 AS \"isSane_available\" FROM processed GROUP BY ALL"),
+    "mth_detection_limit": (mth_detection_limit, f"WITH {fx.STATICS}, x AS (SELECT pos, CAST(0.33 / nullif(4.21e-5 * pow(CASE WHEN frequency > 1000 THEN frequency / 1e9 ELSE frequency END, 2.42) * length_km, 0) AS FLOAT) AS l FROM statics) SELECT pos, round(l::DOUBLE, 3) AS detection_limit, coalesce(l < 2, false) AS passes FROM x"),
+    "qc_full": _FULL,
+    "qc_graf_2020": _GRAF,
+    "qc_no_filter": _NONE,
+    "qc_strict_full": _STRICT,
+    "qc_link": (qc_link, f'{_judgement("full")}\nSELECT cml_id, bool_or("isSane_sublink") AS "isSane" FROM judged GROUP BY 1'),
+    "flt_first_links": (flt_first_links, f"WITH {fx.STATICS} SELECT pos AS cml_id, length_km, frequency FROM statics ORDER BY pos LIMIT 10"),
+    "geo_edges": (geo_edges, """WITH c AS (SELECT DISTINCT p_size, p_retailprice::DOUBLE AS c FROM part), n AS (
+  SELECT *, row_number() OVER w - 1 AS k, lag(c) OVER w AS a, lead(c) OVER w AS b, lag(c, 2) OVER w AS a2, count(*) OVER (PARTITION BY p_size) AS n FROM c WINDOW w AS (PARTITION BY p_size ORDER BY c)
+)
+SELECT p_size, CAST(k AS INT) AS k, round(CASE WHEN a IS NULL THEN c - (b - c) / 2 ELSE (a + c) / 2 END, 4) AS edge FROM n WHERE n > 1
+UNION ALL SELECT p_size, CAST(n AS INT), round(c + (c - a) / 2, 4) FROM n WHERE n > 1 AND b IS NULL"""),
+    "geo_clip": (geo_clip, f"WITH {_CLIP} SELECT cml_id, round(t0, 9) AS t0, round(t1, 9) AS t1 FROM clip"),
+    "geo_path_weights": (geo_path_weights, f"WITH {_PIECES} SELECT cml_id, pix, round(wt::DOUBLE, 5) AS wt FROM weights WHERE wt > 1e-9"),
+    "geo_link_coverage": (geo_link_coverage, f"WITH {_PIECES} SELECT e.cml_id, CAST(count(w) AS INT) AS n_pixels, CAST(count(w) > 0 AS INT) AS intersects FROM endpoints e LEFT JOIN placed p ON p.cml_id = e.cml_id AND w > 1e-9 GROUP BY 1"),
+    "geo_projection": (geo_projection, _GEOS),
+    "agg_path_mean": (agg_path_mean, f"{_MEANS} SELECT scene_time, channel, cml_id, {_rounded('path_mean')} FROM means"),
+    "agg_path_mean_dense": (agg_path_mean_dense, f"""{_MEANS} SELECT c.channel, e.cml_id, count(*) AS n_scenes, count(path_mean) AS n_means
+FROM (SELECT DISTINCT label AS channel FROM embeddings) c, endpoints e, (SELECT DISTINCT vec_id AS scene_time FROM embeddings) s LEFT JOIN means m ON m.scene_time = s.scene_time AND m.channel = c.channel AND m.cml_id = e.cml_id GROUP BY ALL"""),
+}
+
+QUERIES = {name: query for name, (query, _) in _BOTH.items()}
+ORACLES = {name: sql for name, (_, sql) in _BOTH.items()}
