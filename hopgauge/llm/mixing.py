@@ -8,7 +8,7 @@ a step's residual is one number a domain, so the driver only keeps the residuals
 rows; a step costs one aggregation over a narrow table of posteriors.
 
 The classifier is a naive Bayes model over hashed word beginnings and over the signs and capitals around words. Its training sample is bounded
-(about ``sample`` labelled documents, chosen by hash); posteriors, token totals and rates cover all rows.
+(at most ``sample`` labelled documents, chosen by hash); posteriors, token totals and rates cover all rows.
 
 Defined results: a null or empty text has no tokens, the prior as its posterior, and a rate of 1, since no rate of it changes a total;
 null domains and labels of unknown documents are ignored; a doc_id with several labels counts with the smallest; rows of one doc_id are mixed one by one;
@@ -112,8 +112,8 @@ def _split(text: str | None) -> list[bytes]:
 def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -> Classifier:
     """docs: doc_id, text; labelled: doc_id, domain."""
     labels = labelled.where("domain IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("domain").cast("string")).alias("domain"))
-    n = labels.count()
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < sample)
+    # at most sample short rows, hence the broadcast: no text is shuffled
+    chosen = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, np.ndarray] = {}
@@ -266,7 +266,7 @@ def resample(docs: DataFrame, rated: DataFrame) -> DataFrame:
     by = rated.groupBy("doc_id").agg(F.max("rate").alias("rate")).where("doc_id IS NOT NULL")
     uniform = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
     copies = by.select("doc_id", (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
-    some = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    some = docs.hint("merge").join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
     return some.unionByName(docs.where("doc_id IS NULL"))
 
 

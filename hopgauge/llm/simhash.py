@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFra
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
     """docs without those that are not the first (smallest doc_id) of their component; of rows with the same doc_id one stays."""
     first = near_duplicates(docs, shingle, bits).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(first.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.hint("merge").join(first.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +38,7 @@ ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 STEM = 5
 #: Words that are scored at once, and different words that a worker remembers.
 SLICE, MEMORY = 1 << 18, 1 << 18
-BINS = 200
+BINS, LANGUAGES = 200, 1000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -187,52 +189,70 @@ def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs' columns and toxic (0 or 1), where there is a label."""
-    by = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.join(by, "doc_id")
+def _by_document(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic (0 or 1) of what has a label."""
+    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
-    """docs: doc_id, text. The classifier, from at most sample labelled rows of the folds 2 to 4."""
-    rows = _labelled(docs.select("doc_id", "text"), labels).where(_fold(F.col("doc_id")) > 1)
+    """docs: doc_id, text. The classifier, from at most sample labelled doc_ids of the folds 2 to 4."""
+    by = _by_document(labels).where(_fold(F.col("doc_id")) > 1)
+    # at most sample rows of two numbers, hence the broadcast: no text is shuffled
+    chosen = F.broadcast(by.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(chosen, "doc_id").select("doc_id", "text", "toxic")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.array([rows_of(w) for w in _words(t.as_py())], np.int32).reshape(-1, 2).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "rows", "toxic"])
 
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
-    got = chosen.mapInArrow(hashed, "doc_id long, rows binary, toxic int").toArrow()
+    got = rows.mapInArrow(hashed, "doc_id long, rows binary, toxic int").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("rows", "ascending")])  # training depends on the order
     documents = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 2) for x in got.column("rows")]
     return train(documents, got.column("toxic").to_numpy().astype(np.float32))
 
 
+def _sent(spark: SparkSession, model: Model) -> tuple[str, Broadcast]:
+    """The model on its way to the workers (its size is fixed by ROWS, DIM and FILTERS), under a name."""
+    return str(zlib.crc32(model.embeddings.tobytes())), spark.sparkContext.broadcast(model)
+
+
+def _in_slices(sent: tuple[str, Broadcast], texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """Scores of texts, of some at a time."""
+    name, model = sent
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model.value)
+    held: list[str | None] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "") // 6 + 3
+        if size >= SLICE:
+            yield _scorers[name].scores(held)
+            held, size = [], 0
+    if held:
+        yield _scorers[name].scores(held)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, score of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by ROWS, DIM and FILTERS
-    name = f"{id(model)}-{zlib.crc32(model.embeddings.tobytes())}"
+    sent = _sent(docs.sparkSession, model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(sent.value)
         for batch in batches:
-            row, size, texts = 0, 0, []
-            for value in batch.column(2):
-                texts.append(value.as_py())
-                size += len(texts[-1] or "") // 6 + 3
-                if size >= SLICE or row + len(texts) == batch.num_rows:
-                    part = batch.slice(row, len(texts))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_scorers[name].scores(texts))], ["doc_id", "lang", "score"])
-                    row, size, texts = row + len(texts), 0, []
+            row = 0
+            for found in _in_slices(sent, (t.as_py() for t in batch.column(2))):
+                part = batch.slice(row, len(found))
+                row += len(found)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], ["doc_id", "lang", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, lang string, score double")
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, least: int = 30) -> DataFrame:
     """lang, threshold: the lower edge of the score bin with the best F1 on the labels of fold 1, near 0.5 among equals."""
-    rows = _labelled(scored, labels).where(_fold(F.col("doc_id")) == 1)
+    rows = scored.join(_by_document(labels), "doc_id").where(_fold(F.col("doc_id")) == 1)
     bins = rows.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("lang")
     above = by.orderBy(F.desc("bin"))
@@ -241,19 +261,33 @@ def thresholds(scored: DataFrame, labels: DataFrame, least: int = 30) -> DataFra
     return f1.groupBy("lang").agg(F.max(F.struct("f1", -F.abs(F.col("threshold") - 0.5), "threshold"))["threshold"].alias("threshold"))
 
 
+def _threshold(scored: DataFrame, labels: DataFrame) -> Column:
+    """The threshold by lang, as an expression: of at most LANGUAGES languages, 0.5 for others."""
+    edges = thresholds(scored, labels).orderBy("lang").limit(LANGUAGES).collect()
+    known = F.create_map(*[F.lit(x) for r in edges for x in (r["lang"], r["threshold"])]) if edges else F.create_map(F.lit(""), F.lit(0.5))
+    return F.coalesce(F.try_element_at(known, F.coalesce("lang", F.lit(""))), F.lit(0.5))
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """doc_id, lang, score, threshold (of the language), toxic (score >= threshold) of every row."""
     scored = written(score(docs, train_on(docs, labels, sample)), "scores")
-    edges = thresholds(scored, labels)
-    out = scored.join(edges.withColumnRenamed("lang", "of"), F.coalesce("lang", F.lit("")) == F.col("of"), "left")
-    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
-    return out.select("doc_id", "lang", "score", "threshold", (F.col("score") >= F.col("threshold")).alias("toxic"))
+    out = scored.withColumn("threshold", _threshold(scored, labels))
+    return out.withColumn("toxic", F.col("score") >= F.col("threshold"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
-    """docs without those over their language's threshold; rows of one doc_id go together."""
-    toxic = classify(docs, labels, sample).where("toxic AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """docs without those over their language's threshold, row by row. Texts are scored once and not shuffled."""
+    sent = _sent(docs.sparkSession, train_on(docs, labels, sample))
+
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.concatenate([np.zeros(0), *_in_slices(sent, [None if pd.isna(t) else t for t in texts])]))
+
+    name = "_score" + "_" * max(len(c) for c in docs.columns)
+    scored = written(docs.withColumn(name, of(F.col("text").cast("string"))), "scored")
+    measured = scored.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col(name).alias("score"))
+    return scored.where(F.col(name) < _threshold(measured, labels)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
