@@ -31,14 +31,15 @@ ATTEMPTS = 8
 #: Titles by gender (fixed values): m, f, n for either.
 TITLES = {"m": "Mr Herr Monsieur Señor Sr Господин Κύριος", "f": "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа Κυρία", "n": "Dr Prof"}
 _ANY_TITLE = "|".join(sorted(" ".join(TITLES.values()).split(), key=len, reverse=True))
+_FIRST = "".join(sorted({t[0] for t in " ".join(TITLES.values()).split()}))
 #: Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"""(?<=["'=: ])(?<=(?i:token|secret|password|passwd|api_?key|access_?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_+/-]{8,}""",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "card": r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "name": rf"\b(?:{_ANY_TITLE})\b\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"""(?<=["'=: ])(?<=[=:]\s{0,2}["']?)(?<=(?i:token|secret|password|passwd|api_?key|access_?key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_+/-]{8,}""",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "card": r"(?=\d)(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)",
+    "phone": r"(?=[\d+(])(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "name": rf"(?=[{_FIRST}])\b(?:{_ANY_TITLE})\b\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _CONSONANTS, _VOWELS = "bdfgklmnprstvzhj", "aeio"
@@ -158,9 +159,16 @@ def surrogate(entity: Column, keyed: Keyed) -> Column:
     )
 
 
+def may_hold(text: Column) -> Column:
+    """False for texts in which no pattern can match, since all lack something that it needs; quick to tell."""
+    named = F.lower(text)
+    secret = text.rlike("[=:]") & (named.contains("token") | named.contains("secret") | named.contains("passw") | named.contains("key"))
+    return text.contains("@") | text.rlike("[0-9]") | secret | text.rlike(rf"(?=[{_FIRST}])(?:{_ANY_TITLE})[. ]")
+
+
 def entities(text: Column) -> Column:
     """array<string>: what is detected in a text, in order."""
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def safe_attempt(docs: DataFrame, key: str) -> int:

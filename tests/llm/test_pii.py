@@ -1,0 +1,102 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from hopgauge.llm import pii
+
+
+def replaced(spark, texts, key="k"):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: r for r in pii.replace_entities(df, key).collect()}
+
+
+def luhn(digits):
+    return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+TEXTS = [
+    "mail a.b@x.org, A.B@x.org! c@y.co.uk tel +1 (743) 555-3824 or 743-555-3824 and +1.743.555.3824",
+    "card 4111111111111111 4111-1111-1111-1111 4111 1111 1111 1112 ip 152.143.123.131### 1.2.3.4. 999.1.1.1 2.0. 1.2.3.4.5",
+    'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" password: Hunter2abcdef token of thanks',
+    "Mr. John Smith met Mr Smith and Mrs. Jane Smith, Frau Müller; Госпожа Иванова, Κυρία Παππά. Mr",
+    "none here", None, "",
+]
+
+
+def test_formats_and_coreference(spark):
+    got = replaced(spark, TEXTS)
+    words = {k: (got[k].text or "").split() for k in got}
+    assert [got[k].n_entities for k in range(7)] == [6, 5, 2, 6, 0, 0, 0]
+    assert (got[4].text, got[5].text, got[6].text) == ("none here", None, "")
+    a, b, c = words[0][1], words[0][2], words[0][3]
+    assert a[:-1] == b[:-1] != c and c.endswith(".example.uk") and "x.org" not in got[0].text
+    phones = re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\+1\.\d{3}\.\d{3}\.\d{4}", got[0].text)
+    assert len(phones) == 3 and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[2]) and "3824" not in got[0].text
+    cards = [re.sub(r"\D", "", x) for x in re.findall(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", got[1].text)]
+    assert cards[0] == cards[1] != cards[2] and [luhn(x) for x in cards] == [True, True, False] and all(x[0] == "4" for x in cards)
+    assert cards[0] != "4" + "1" * 15
+    ip = re.findall(r"\d+(?:\.\d+){3,}", got[1].text)
+    assert ip[0] != "152.143.123.131" and all(int(o) < 256 for o in ip[0].split(".")) and ip[2:] == ["999.1.1.1", "1.2.3.4.5"]
+    secret = re.search(r'token = "([0-9a-f]{40})" password: (\w{13}) token of thanks', got[2].text)
+    assert secret and secret[1] != TEXTS[2][9:49] and secret[2] != "Hunter2abcdef"
+    family = re.match(r"Mr\. (\w+) (\w+) met Mr (\w+) and Mrs\. (\w+) (\w+), Frau (\w+); Госпожа ([а-яА-Я]+), Κυρία ([α-ωΑ-Ω]+)\. Mr$", got[3].text)
+    assert family and family[2] == family[3] == family[5] != family[6] and family[1] != family[4] and "Smith" not in got[3].text
+
+
+def test_key_decides_and_repeats(spark):
+    one, again, other = (replaced(spark, TEXTS[:3], k) for k in ("k", "k", "q"))
+    assert one == again and all(one[k].text != other[k].text for k in one)
+
+
+def test_distinct_values_stay_distinct(spark):
+    rng = random.Random(4)
+    ip = {".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(400)}
+    phone = {f"{rng.randrange(200, 999)}-{rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}" for _ in range(400)}
+    got = replaced(spark, [" ; ".join(sorted(ip)), " ; ".join(sorted(phone))])
+    for k, values in ((0, ip), (1, phone)):
+        new = got[k].text.split(" ; ")
+        assert len(set(new)) == len(values) == len(new)
+
+
+def test_permutation_is_one(spark):
+    keyed = pii.Keyed("k", 0)
+    df = spark.range(1000).select(keyed.digits("x", F.lpad(F.col("id").cast("string"), 3, "0")).alias("d"))
+    assert sorted(r.d for r in df.collect()) == [f"{k:03d}" for k in range(1000)]
+
+
+def test_collisions_move_to_the_next_attempt(spark, monkeypatch):
+    df = spark.createDataFrame([("a@x.org b@x.org",)], "text string")
+    true = pii.surrogate
+    seen = []
+
+    def same_at_first(entity, keyed):
+        seen.append(keyed)
+        return F.lit("e@e.org") if len(seen) < 3 else true(entity, keyed)
+
+    monkeypatch.setattr(pii, "surrogate", same_at_first)
+    assert pii.safe_attempt(df, "k") == 2
+    monkeypatch.setattr(pii, "surrogate", lambda e, k: F.lit("e@e.org"))
+    with pytest.raises(RuntimeError):
+        pii.safe_attempt(df, "k")
+
+
+def test_native_plan_and_columns(spark):
+    df = spark.createDataFrame([(1, "call 743-555-3824", 5, "x")], "doc_id long, text string, n_entities int, _of_text string")
+    out = pii.replace_entities(df)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["doc_id", "text", "_of_text", "n_entities"] and out.first().n_entities == 1
+    assert pii.replace_entities(df.limit(0)).count() == 0
+
+
+def test_query_leaves_no_detected_value(spark):
+    old = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    pattern = re.compile(r"[\w.]+@[\w.]+\w|\b\d{16}\b|\b[0-9a-f]{40}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\(\d{3}\) \d{3}-\d{4}")
+    changed = 0
+    for r in pii.query(spark, "/root/testdata/sf0.01").collect():
+        found = pattern.findall(old[r.doc_id])
+        assert not [x for x in found if x in r.text] and (bool(found) == (r.n_entities > 0))
+        changed += len(found)
+        assert pattern.sub("", old[r.doc_id]) == pattern.sub("", r.text)
+    assert changed > 50
