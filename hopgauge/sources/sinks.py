@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
@@ -30,4 +31,4 @@ def save_means(means: DataFrame, path: str, overwrite: bool = False) -> None:
 def weights_key(links: DataFrame, edges: tuple[list[float], list[float]]) -> str:
     """Name of a stored table of weights, which depends on the links' geometry and the grid, so that no stale one is used again."""
     row = links.agg(F.sum(F.xxhash64("cml_id", "x0", "y0", "x1", "y1").cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")).first()
-    return f"{row['n']}-{abs(hash((str(row['h']), *map(tuple, edges)))):x}"
+    return f"{row['n']}-{hashlib.sha256(repr((str(row['h']), *map(list, edges))).encode()).hexdigest()[:16]}"
