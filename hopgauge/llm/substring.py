@@ -6,11 +6,13 @@ A window is ``window`` consecutive words; a word goes if a window over it also s
    windows have the same phrase at the same place. Neighbouring windows with the same phrase form a passage, from the first
    word of the first window to the last word of the last. Passages are few (about 2 windows in ``window``), and every window is in one.
 2. Recurring passages are confirmed by grouping on phrase and passage hash (128 bits in all). A passage that stands as a whole in
-   an earlier document goes as a whole; this settles copies, and of each distinct passage only the earliest is needed further on.
+   an earlier document goes as a whole; this settles copies. What a single window of the others may still remove depends only on the
+   passage's words and its earliest document, so each distinct passage is searched once, for all its occurrences there.
 3. Distinct passages that share a phrase may still have single windows in common (their ends differ). The windows of
    these passages are grouped by hash; those of two or more documents are the recurring ones and are compiled, from the text of the
    earliest document, into Aho-Corasick automata (pyahocorasick, over words), sharded by phrase. Passages stream
-   through their shard's automaton, which locates every occurrence exactly. A phrase with many passages gets many shards: its
+   through their shard's automaton, which locates every occurrence exactly; what is found, relative to the passage, is joined back to every occurrence
+   in the passage's earliest document (and to those of all documents without an id). A phrase with many passages gets many shards: its
    passages are dealt over them and its recurring windows, which are counted before, go to each.
 
 No step holds all occurrences of a phrase or window in one task.
@@ -130,47 +132,48 @@ def _passages(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _spans(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of wanted passages (phrase, d, k, first, last) as text: phrase, d, k, first, words."""
-    lists = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("phrase", "first", "last")).alias("of"))
+    """The words of wanted passages (phrase, passage, d, k, first, last) as text: phrase, passage, d, words."""
+    lists = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("phrase", "passage", "first", "last")).alias("of"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, k, text, of in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for d, text, of in zip(*(batch.column(i) for i in range(3)), strict=True):
                 words = _split(text.as_py())
-                rows += [(x["phrase"], d.as_py(), k.as_py(), x["first"], b" ".join(words[x["first"] : x["last"] + window]).decode("utf-8", "surrogatepass")) for x in of.as_py()]
-            yield pa.RecordBatch.from_pylist([dict(zip(("phrase", "d", "k", "first", "words"), r, strict=True)) for r in rows], SPANS)
+                rows += [(x["phrase"], x["passage"], d.as_py(), b" ".join(words[x["first"] : x["last"] + window]).decode("utf-8", "surrogatepass")) for x in of.as_py()]
+            yield pa.RecordBatch.from_pylist([dict(zip(SPANS.names, r, strict=True)) for r in rows], SPANS)
 
-    return keyed.join(lists, ["d", "k"]).select("d", "k", "text", "of").mapInArrow(cut, "phrase long, d long, k long, first int, words string")
+    # rows of one doc_id with the same text are one row here: the text is cut once
+    return keyed.dropDuplicates(["d", "k"]).join(lists, ["d", "k"]).select("d", "text", "of").mapInArrow(cut, "phrase long, passage long, d long, words string")
 
 
-SPANS = pa.schema([("phrase", pa.int64()), ("d", pa.int64()), ("k", pa.int64()), ("first", pa.int32()), ("words", pa.string())])
-FOUND = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+SPANS = pa.schema([("phrase", pa.int64()), ("passage", pa.int64()), ("d", pa.int64()), ("words", pa.string())])
+FOUND = pa.schema([("phrase", pa.int64()), ("passage", pa.int64()), ("d", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _windows(spans: DataFrame, window: int) -> DataFrame:
-    """a, b (two hashes), phrase, d, k, first, at: each window of the spans, at words after the span's first."""
+    """a, b (two hashes), phrase, passage, d, at: each window of the spans, at words after the span's first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = []
-            for text in batch.column(4):
+            for text in batch.column(3):
                 h = word_hashes(_split(text.as_py()))
                 each.append((window_hashes(h, window), window_hashes(h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(31)), window, 0xC2B2AE3D27D4EB4F)))
             n = np.array([len(x) for x, _ in each], np.int64)
             row = np.repeat(np.arange(len(each)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             a, b = (np.concatenate([e[i] for e in each] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
-            kept = [batch.column(i).take(pa.array(row)) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *kept, pa.array(at.astype(np.int32))], ["a", "b", "phrase", "d", "k", "first", "at"])
+            kept = [batch.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *kept, pa.array(at.astype(np.int32))], ["a", "b", "phrase", "passage", "d", "at"])
 
-    return spans.mapInArrow(cut, "a long, b long, phrase long, d long, k long, first int, at int")
+    return spans.mapInArrow(cut, "a long, b long, phrase long, passage long, d long, at int")
 
 
 def _patterns(spans: DataFrame, window: int) -> DataFrame:
     """phrase, d, words: recurring windows, as runs of words of the earliest document that holds them."""
-    seen = _windows(spans, window).groupBy("a", "b").agg(F.min(F.struct("d", "k", "first", "at", "phrase")).alias("of"), F.max("d").alias("most")).where("of.d < most")
-    lists = seen.groupBy("of.d", "of.k", "of.first", "of.phrase").agg(F.collect_list("of.at").alias("at"))
+    seen = _windows(spans, window).groupBy("a", "b").agg(F.min(F.struct("d", "phrase", "passage", "at")).alias("of"), F.max("d").alias("most")).where("of.d < most")
+    lists = seen.groupBy("of.phrase", "of.passage").agg(F.collect_list("of.at").alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +186,7 @@ def _patterns(spans: DataFrame, window: int) -> DataFrame:
                     texts.append(b" ".join(words[run[0] : run[-1] + window]).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.int64()), pa.array(ds, pa.int64()), pa.array(texts, pa.string())], ["phrase", "d", "words"])
 
-    return spans.join(lists, ["d", "k", "first", "phrase"]).select("phrase", "d", "words", "at").mapInArrow(cut, "phrase long, d long, words string")
+    return spans.join(lists, ["phrase", "passage"]).select("phrase", "d", "words", "at").mapInArrow(cut, "phrase long, d long, words string")
 
 
 def locate(patterns: Iterable[tuple[int, str]], texts: Iterable[tuple[int, str]], window: int) -> Iterator[tuple[int, int, int]]:
@@ -225,11 +228,11 @@ def locate(patterns: Iterable[tuple[int, str]], texts: Iterable[tuple[int, str]]
 
 
 def _occurrences(spans: DataFrame, patterns: DataFrame, window: int) -> DataFrame:
-    """d, k, start, end: words of spans that a recurring window of an earlier document covers."""
+    """phrase, passage, d, start, end: words of spans, from the span's first, that a recurring window of an earlier document covers."""
     shards = spans.groupBy("phrase").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards")).join(patterns.select("phrase").distinct(), "phrase", "left_semi")
     n = partitions(spans.sparkSession)
-    dealt = spans.join(shards, "phrase").select("phrase", F.pmod(F.xxhash64("d", "k", "first"), F.col("shards")).cast("int").alias("shard"), F.lit(1).alias("kind"), "d", "k", "first", "words")
-    given = patterns.join(shards, "phrase").select("phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(0).alias("kind"), "d", F.lit(0).cast("long").alias("k"), F.lit(0).alias("first"), "words")
+    dealt = spans.join(shards, "phrase").select("phrase", F.pmod(F.xxhash64("passage"), F.col("shards")).cast("int").alias("shard"), F.lit(1).alias("kind"), "passage", "d", "words")
+    given = patterns.join(shards, "phrase").select("phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("passage"), "d", "words")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: list[tuple] = []
@@ -237,24 +240,24 @@ def _occurrences(spans: DataFrame, patterns: DataFrame, window: int) -> DataFram
         group = None
 
         def found() -> pa.RecordBatch:
-            out = [(texts[i][1], texts[i][2], texts[i][3] + start, texts[i][3] + end) for i, start, end in locate(patterns, ((t[1], t[0]) for t in texts), window)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, FOUND.types, strict=True)], FOUND.names)
+            out = [(*texts[i][:3], start, end) for i, start, end in locate(patterns, (t[2:] for t in texts), window)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, FOUND.types, strict=True)], FOUND.names)
 
         for batch in batches:
-            for phrase, shard, kind, d, k, first, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for phrase, shard, kind, passage, d, words in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (phrase, shard) != group:
                     if len(patterns) + len(texts) > SHARD:
                         yield found()
                         patterns, texts = [], []
                     group = (phrase, shard)
                 if kind:
-                    texts.append((words, d, k, first))
+                    texts.append((phrase, passage, d, words))
                 else:
                     patterns.append((d, words))
         yield found()
 
     order = ["phrase", "shard", "kind"]
-    return dealt.unionByName(given).repartition(n, "phrase", "shard").sortWithinPartitions(*order).mapInArrow(stream, "d long, k long, start int, end int")
+    return dealt.unionByName(given).repartition(n, "phrase", "shard").sortWithinPartitions(*order).mapInArrow(stream, "phrase long, passage long, d long, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -263,12 +266,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     passages = written(_passages(keyed, window, phrase), "passages")
     distinct = written(passages.groupBy("phrase", "passage").agg(F.min(F.struct("d", "k", "first", "last")).alias("of"), F.max("d").alias("most")), "distinct")
     copied = distinct.where("of.d < most").select("phrase", "passage", F.col("of.d").alias("d0"))
-    whole = passages.join(copied, ["phrase", "passage"]).where("d > d0").select("d", "k", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
     shared = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("of.d").alias("d0"), F.max("of.d").alias("d1")).where("n > 1 AND d0 < d1").select("phrase")
-    wanted = distinct.join(shared, "phrase").select("phrase", "of.*")
+    wanted = distinct.join(shared, "phrase").select("phrase", "passage", "of.*")
     spans = written(_spans(keyed, wanted, window), "spans")
     parts = _occurrences(spans, written(_patterns(spans, window), "patterns"), window)
-    return whole.unionByName(parts)
+    parts = parts.groupBy("phrase", "passage", F.col("d").alias("d0")).agg(F.collect_list(F.struct("start", "end")).alias("parts"))
+    # one row without parts for what later documents lose, one with parts for what all occurrences in the earliest document lose
+    answers = copied.withColumn("parts", F.lit(None).cast(parts.schema["parts"].dataType)).unionByName(parts)
+    lost = passages.join(answers, ["phrase", "passage"]).where("CASE WHEN parts IS NULL THEN d > d0 ELSE d = d0 END")
+    all_of_it = F.array(F.struct(F.lit(0).alias("start"), (F.col("last") - F.col("first") + window).alias("end")))
+    lost = lost.select("d", "k", "first", F.explode(F.coalesce("parts", all_of_it)).alias("of"))
+    return lost.select("d", "k", (F.col("first") + F.col("of.start")).alias("start"), (F.col("first") + F.col("of.end")).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:

@@ -56,6 +56,19 @@ def test_repeating_words_and_shards(spark, monkeypatch):
     assert check(spark, rows, 10, 3) > 100
 
 
+def test_passages_repeated_within_their_earliest_document(spark):
+    """Document 1 holds a line amid other text; document 2 repeats it, so its passages have other ends and recur within 2."""
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    line, section, half = words("l", 60), words("s", 30), words("t", 70)
+    rows = [(1, " ".join(words("a", 40) + line + words("b", 40))), (2, " ".join(line * 20))]
+    assert check(spark, rows, 50, 8) == 1200
+    rows = [(1, " ".join(words("a", 40) + half + words("b", 40))), (2, " ".join((section + half) * 2 + words("c", 5)))]
+    assert check(spark, rows, 50, 8) == 140
+    # the same in other rows of one doc_id and in documents without an id
+    rows = [(1, " ".join(words("a", 40) + half + words("b", 40)))] + [(i, " ".join(section + half + words(f"c{k}x", 9))) for i in (2, None) for k in range(3)]
+    assert check(spark, rows, 50, 8) > 420
+
+
 def test_cases(spark):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "z a b c d e"), (None, "a b c d e"), (None, "a b c d e"), (7, None), (8, ""), (9, "a b"), (3, "q a b c d e f")]
     assert check(spark, rows, 4, 2) > 0
