@@ -158,13 +158,14 @@ def links(classes: DataFrame, bits: int = 2) -> DataFrame:
             if not len(rest[0]):
                 continue
             anchor, x, home = rest
+            before = crowded  # its last rows may be at hand together with the first of the next crowded anchor
             cut = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
             if len(anchor) - cut > MOST or anchor[-1] == crowded:
                 crowded, cut = anchor[-1], len(anchor)
             rest = (anchor[cut:], x[cut:], home[cut:])
             anchor, x, home = anchor[:cut], x[:cut], home[:cut]
             starts, number = np.unique(anchor, return_index=True, return_counts=True)[1:]
-            many = np.repeat((number > MOST) | (anchor[starts] == crowded), number)
+            many = np.repeat((number > MOST) | (anchor[starts] == before) | (anchor[starts] == crowded), number)
             if many.any():
                 yield out(x[many], None)
             if not many.all():

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,33 @@ def test_links_in_dense_and_crowded_groups(spark, monkeypatch, most):
     assert parts([found.get(v, v) for v in signed]) == parts(groups_of(values, 2))
 
 
+def test_crowded_anchors_that_follow_each_other_over_batches(spark, monkeypatch):
+    """Anchor A's last rows come in one batch with the first of B, both crowded; none of A's links may be lost."""
+    monkeypatch.setattr(simhash, "MOST", 3)
+    values = np.array([a << 40 | 1 << k for a in (1, 2) for k in range(6)], np.int64)
+    anchor = np.array([a for a in (1, 2) for _ in range(6)], np.int32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(anchor[k : k + 5]), pa.array(values[k : k + 5]), pa.array([True] * len(values[k : k + 5]))], ["anchor", "x", "home"]) for k in (0, 5, 10)]
+
+    class Caught(Exception):
+        pass
+
+    class Frame:
+        """Stands for the replicas; hands the comparison the batches."""
+
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def mapInArrow(self, f, schema):
+            if schema == "a long, b long":
+                raise Caught([r for b in f(iter(batches)) for r in b.to_pylist()])
+            return self
+
+    with pytest.raises(Caught) as caught:
+        simhash.links(Frame())
+    points = {r["a"] for r in caught.value.args[0] if r["b"] is None}
+    assert points == set(values.tolist())
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(8, 40)] + [(3, 3), (None, 4), (50, 51), (51, 50), (50, 51)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
