@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: five stages, each of which works on all that its predecessor kept.
 
 toxicity     documents over their language's calibrated threshold go
-simhash      of each group of near copies the document with the smallest doc_id stays
+simhash      of each group of near copies (five-word shingles that overlap by 0.8 or more) the document with the smallest doc_id stays
 pii          personal data in texts get surrogates; n_chars follows the new text
 mixing       documents are repeated to bring the domains' token totals nearer to each other; none goes (rates are at least 1)
 packing      documents become pieces in sequences of at most 2048 tokens
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopgauge.llm import mixing, packing, pii, simhash, toxicity
+from hopgauge.llm import mixing, nearcopies, packing, pii, toxicity
 from hopgauge.llm.common import table, written
 
 
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return nearcopies.drop_near_copies(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
