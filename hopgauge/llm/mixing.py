@@ -2,10 +2,15 @@
 
 A classifier is trained on a labelled table (doc_id, domain) and predicts for every document the posteriors of all domains: its soft
 membership. A document of n tokens at rate r then stands for r * n * posterior expected tokens of each domain. Rates are fitted by
-least squares: the domains' shares of the token budget shall match the targets, with a small pull of every rate towards 1 and
-with no rate below ``least`` (0 or more). Projected gradient steps, scaled by the inverse of the posteriors' second moments, are distributed:
-a step's residual is one number a domain, so the driver only keeps the residuals so far, and every task replays them for its
-rows; a step costs one aggregation over a narrow table of posteriors.
+least squares: the domains' shares of the token budget shall match the targets, with a very small pull of every rate towards 1 and
+with no rate below ``least`` (0 or more). At the optimum a projected gradient step from rate 1 leads to the very rates whose residual made the
+step: r = max(least, 1 - posteriors . z) with pull * z = what the domains have too much. So a round is a distributed evaluation of such
+projected steps: rows compute their rates for a few trial steps z, and one aggregation of a few numbers a domain gives each trial's
+totals, objective and curvature over the rates that the bound does not hold; the driver goes on from the best trial in the direction of the
+scaled remaining gradient, and never keeps a worse one. No row has a state, so a round costs one pass over a narrow table of posteriors.
+The fit ends when what remains of the gradient is nearly zero; ``Rates.converged`` says whether it did within ``rounds``, and ``report``
+what each domain wanted and reached (targets may be out of reach: no rate can take tokens away from a domain under ``least``, or
+give them to one without any).
 
 The classifier is a naive Bayes model over hashed word beginnings and over the signs and capitals around words. Its training sample is bounded
 (at most ``sample`` labelled documents, chosen by hash); posteriors, token totals and rates cover all rows.
@@ -19,17 +24,19 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopgauge.llm.common import table, written
 
 BUCKETS = 1 << 14
+#: The driver holds BUCKETS numbers and the square of it a domain.
+MOST_DOMAINS = 256
 #: Different words that a worker remembers.
 MEMORY = 1 << 18
 _CORE = re.compile(r"[^\W_]+(?:.*[^\W_]+)?")
@@ -130,6 +137,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -
             yield pa.RecordBatch.from_arrays([pa.array([domain] * len(n)), pa.array(buckets.astype(np.int32)), pa.array(n)], ["domain", "bucket", "n"])
 
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(chosen, "doc_id").select("text", "domain")
+    # the check reads MOST_DOMAINS + 1 names at most
+    if len(labels.select("domain").distinct().limit(MOST_DOMAINS + 1).collect()) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
     rows = pairs.mapInArrow(counted, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = rows.column("domain").to_pylist()
     domains = sorted(set(names)) or ["all"]
@@ -168,77 +178,118 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
 
 @dataclass
 class Rates:
-    """The fitted steps: scaled residuals so far, step length, pull, least rate; expected totals before and after; targets."""
+    """The projected step z by domain and the least rate; shares before and after, targets (all of the tokens there are); whether the fit came to its end."""
 
-    steps: np.ndarray
-    rate: float
-    pull: float
+    step: np.ndarray
     least: float
     natural: np.ndarray
     fitted: np.ndarray
     target: np.ndarray
+    converged: bool = False
 
-    def of(self, posteriors: np.ndarray, steps: np.ndarray | None = None) -> np.ndarray:
-        r = np.ones(len(posteriors))
-        for v in self.steps if steps is None else steps:
-            r = np.maximum(self.least, r - self.rate * (posteriors @ v + self.pull * (r - 1)))
-        return r
+    def of(self, posteriors: np.ndarray) -> np.ndarray:
+        return np.maximum(self.least, 1 - posteriors @ self.step)
+
+    def column(self, posteriors: str) -> Column:
+        dot = F.aggregate(F.zip_with(posteriors, F.array(*[F.lit(float(z)) for z in self.step]), lambda p, z: p * z), F.lit(0.0), lambda a, x: a + x)
+        return F.greatest(F.lit(float(self.least)), 1 - dot)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, budget: float = 1.0, least: float = 0.0, pull: float = 1e-4, rounds: int = 40, close: float = 1e-4) -> Rates:
+#: Lengths of the steps that a round tries, of the scaled one.
+LENGTHS = (1.0, 0.5, 0.2, 0.05)
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, budget: float = 1.0, least: float = 0.0, pull: float = 1e-8, rounds: int = 100, close: float = 1e-10) -> Rates:
     """members: n_tokens, posteriors (a written table, read once a round); targets: the domains' weights; budget: expected tokens over those there are."""
     d = len(targets)
+    goal = budget * targets / targets.sum()
+    held = 1 - least  # where posteriors . z reaches it, the bound holds the rate
 
-    def total(make, width: int) -> np.ndarray:
-        """Sum over all rows of what make(tokens, posteriors) gives for a batch."""
+    def evaluated(trials: np.ndarray) -> np.ndarray:
+        """For each trial step: totals by domain, integral of the rates along the step, second moments of the free rows; and all tokens."""
+        width = d + 1 + d * d
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(width)
+            sums = np.zeros(len(trials) * width + 1)
             for batch in batches:
-                if batch.num_rows:
-                    sums += make(batch.column(0).to_numpy().astype(np.float64), _matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(sums)], ["i", "x"])
+                if not batch.num_rows:
+                    continue
+                n, p = batch.column(0).to_numpy().astype(np.float64), _matrix(batch.column(1))
+                sums[-1] += n.sum()
+                for k, z in enumerate(trials):
+                    t = p @ z
+                    free = t < held
+                    m, q, inner = n[free], p[free], np.minimum(t, held)
+                    along = inner - inner**2 / 2 + least * (t - inner)
+                    sums[k * width : (k + 1) * width] += np.r_[(n * np.maximum(least, 1 - t)) @ p, n @ along, ((q * m[:, None]).T @ q).ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["i", "x"])
 
         rows = members.select("n_tokens", "posteriors").mapInArrow(part, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(width)
+        out = np.zeros(len(trials) * width + 1)
         for r in rows:
             out[r["i"]] = r["x"]
-        return out
+        return out[:-1].reshape(-1, width) / max(out[-1], 1.0)
 
-    moments = total(lambda n, p: np.r_[n @ p, ((p * n[:, None]).T @ p).ravel()], d + d * d)
-    tokens = max(moments[:d].sum(), 1.0)
-    natural, second = moments[:d] / tokens, moments[d:].reshape(d, d) / tokens
-    goal = budget * targets / targets.sum()
-    scale = np.linalg.inv(second + 1e-6 * np.eye(d))
-    last = np.inf
-    rates = Rates(np.zeros((0, d)), 1 / (1 + pull), pull, least, natural, natural, goal)
+    def value(z: np.ndarray, found: np.ndarray) -> float:
+        return 0.5 * pull * z @ z + goal @ z - found[d]
+
+    z = np.zeros(d)
+    found = evaluated(z[None])[0]
+    rates, shrink = Rates(z, least, found[:d] / max(1.0, least), found[:d], goal), 1.0
     for _ in range(rounds):
-        residual = rates.fitted - goal
-        size = np.abs(residual).max()
-        if size <= close * goal.max() or size > 0.98 * last:  # there, or as near as the least rate and the pull allow
+        gradient = pull * z - (found[:d] - goal)
+        if np.abs(gradient).max() <= close:
+            rates.converged = True
             break
-        last = size
-        rates.steps = np.vstack([rates.steps, scale @ residual])
-        rates.fitted = total(lambda n, p, r=rates: (n * r.of(p)) @ p, d) / tokens
+        way = -np.linalg.solve(found[d + 1 :].reshape(d, d) + pull * np.eye(d), gradient)
+        trials = z + shrink * np.array(LENGTHS)[:, None] * way
+        results = evaluated(trials)
+        values = [value(t, x) for t, x in zip(trials, results, strict=True)]
+        best = int(np.argmin(values))
+        # far from the end the objective decides, near it (where it does not change any more) the gradient
+        flatter = [np.abs(pull * t - (x[:d] - goal)).max() for t, x in zip(trials, results, strict=True)]
+        if not values[best] < value(z, found) and min(flatter) < 0.9 * np.abs(gradient).max() and np.abs(gradient).max() < 1e-7:
+            best = int(np.argmin(flatter))
+        elif not values[best] < value(z, found):
+            shrink *= LENGTHS[-1]
+            if shrink < 1e-9:
+                rates.converged = bool(np.abs(gradient).max() <= 1e3 * close)
+                break
+            continue
+        z, found, shrink = trials[best], results[best], 1.0
+        rates.step, rates.fitted = z, found[:d]
     return rates
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, budget: float | None = 1.0, least: float = 0.0, sample: int = 20_000) -> tuple[DataFrame, Classifier, Rates]:
+def shares(members: DataFrame, domains: int) -> np.ndarray:
+    """The domains' shares of all expected tokens at rate 1."""
+    sums = members.select(*[F.sum(F.col("n_tokens") * F.col("posteriors")[i]).alias(f"d{i}") for i in range(domains)]).first()
+    natural = np.array([x or 0.0 for x in sums])
+    return natural / max(natural.sum(), 1e-300)
+
+
+def mix(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | Callable[[dict[str, float]], dict[str, float]] | None = None,
+    power: float = 0.5, budget: float | None = 1.0, least: float = 0.0, sample: int = 20_000,
+) -> tuple[DataFrame, Classifier, Rates]:
     """doc_id, n_tokens, posteriors, rate of every row; the classifier; the fit.
 
-    weights: target weight by domain (others 0); without it, the domains' natural shares to the given power. budget None: just so
-    many expected tokens that no domain needs fewer than it has.
+    weights: target weight by domain (others 0), or a function that makes it of the domains' natural shares; without it, these shares to
+    the given power. budget None: just so many expected tokens that no domain needs fewer than it has. Weights that are negative or not
+    finite are an error, as are more than MOST_DOMAINS domains.
     """
     model = fit_classifier(docs, labelled, sample)
     members = written(memberships(docs, model), "memberships")
-    shares = members.select(*[F.sum(F.col("n_tokens") * F.col("posteriors")[i]).alias(f"d{i}") for i in range(len(model.domains))]).first()
-    natural = np.array([x or 0.0 for x in shares])
-    natural = natural / max(natural.sum(), 1e-300)
-    targets = natural**power if weights is None else np.array([weights.get(d, 0.0) for d in model.domains])
+    natural = shares(members, len(model.domains))
+    if callable(weights):
+        weights = weights(dict(zip(model.domains, natural.tolist(), strict=True)))
+    targets = natural**power if weights is None else np.array([float(weights.get(d, 0.0)) for d in model.domains])
+    if not (np.isfinite(targets) & (targets >= 0)).all():
+        raise ValueError("target weights must be finite and not negative")
     if not targets.sum():
         targets = np.ones(len(targets))
     targets = targets / targets.sum()
@@ -246,32 +297,48 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
         budget = float((natural[targets > 0] / targets[targets > 0]).max())
     fit = fit_rates(members, targets, budget, least)
 
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(1).to_numpy()
-            rate = np.where(n > 0, fit.of(_matrix(batch.column(2))), 1.0) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
+    rate = F.when(F.col("n_tokens") > 0, fit.column("posteriors")).otherwise(1.0)
+    return members.withColumn("rate", rate), model, fit
 
-    return members.mapInArrow(rated, "doc_id long, n_tokens long, posteriors array<double>, rate double"), model, fit
+
+def report(spark: SparkSession, model: Classifier, fit: Rates) -> DataFrame:
+    """domain, natural, target, reached, residual (shares of the tokens there are), converged: one row a domain."""
+    rows = [(name, float(a), float(b), float(c), float(c - b), fit.converged) for name, a, b, c in zip(model.domains, fit.natural, fit.target, fit.fitted, strict=True)]
+    return spark.createDataFrame(rows, "domain string, natural double, target double, reached double, residual double, converged boolean")
 
 
 def quality_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, domain: language and labelled quality of the documents with a label."""
-    by = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    return docs.join(by, "doc_id").select("doc_id", F.concat(F.coalesce("lang", F.lit("?")), F.when(F.col("quality") == 1, "/good").otherwise("/poor")).alias("domain"))
+    by = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    return some.join(by, "doc_id").select("doc_id", F.concat(F.coalesce("lang", F.lit("?")), F.when(F.col("label") == 1, "/good").otherwise("/poor")).alias("domain"))
+
+
+def good_first(natural: dict[str, float]) -> dict[str, float]:
+    """Weights of ``quality_domains``: square roots of the shares, so that small languages gain, and none for poor texts."""
+    return {domain: 0.0 if domain.endswith("/poor") else share**0.5 for domain, share in natural.items()}
 
 
 def resample(docs: DataFrame, rated: DataFrame) -> DataFrame:
-    """docs repeated (or dropped) so that each row's expected number of copies is its doc_id's rate; the fraction is decided by hash."""
-    by = rated.groupBy("doc_id").agg(F.max("rate").alias("rate")).where("doc_id IS NOT NULL")
-    uniform = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
-    copies = by.select("doc_id", (F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
-    some = docs.hint("merge").join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-    return some.unionByName(docs.where("doc_id IS NULL"))
+    """docs repeated (or dropped) so that each row's expected number of copies is its doc_id's rate; the fraction is decided by hash.
+
+    Rows without an id, and those whose id has no rate, stay as they are.
+    """
+    long = max(len(c) for c in docs.columns)
+    of, n = "_of" + "_" * long, "_n" + "_" * long  # names that no column has
+    by = rated.groupBy(F.col("doc_id").alias(of)).agg(F.max("rate").alias(n)).where(F.col(of).isNotNull())
+    uniform = F.pmod(F.xxhash64(of, F.lit("copies")), F.lit(1 << 30)) / (1 << 30)
+    copies = by.select(of, (F.floor(n) + (uniform < F.col(n) - F.floor(n)).cast("int")).cast("int").alias(n))
+    every = docs.hint("merge").join(copies, docs["doc_id"].cast("long") == F.col(of), "left")
+    return every.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.coalesce(n, F.lit(1)))).alias(n)).drop(n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    rated, model, fit = mix(docs, quality_domains(docs, table(spark, sf_dir, "labels")))
+    rated, model, fit = mix(docs, quality_domains(docs, table(spark, sf_dir, "labels")), weights=good_first)
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
-    return rated.select("doc_id", "n_tokens", F.element_at(F.array(*[F.lit(d) for d in model.domains]), best).alias("domain"), F.array_max("posteriors").alias("posterior"), "rate")
+    of = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), best)
+    return rated.select(
+        "doc_id", "n_tokens", of(model.domains).alias("domain"), F.array_max("posteriors").alias("posterior"), "rate",
+        of(fit.target.tolist()).alias("domain_target"), of(fit.fitted.tolist()).alias("domain_reached"), F.lit(fit.converged).alias("converged"),
+    )

@@ -27,16 +27,58 @@ def test_classifier_and_fit(spark):
     assert totals.sum() == pytest.approx(sum(r.n_tokens for r in got.values()), rel=1e-3)
 
 
-def test_fit_equals_plain_projected_least_squares(spark):
+def plain_fit(n, p, goal, least, pull, rounds=200_000):
+    """Accelerated projected gradient on the same objective, one row after the other in memory."""
+    w = n / n.sum()
+    step = 1 / (np.linalg.eigvalsh((p * w[:, None]).T @ p)[-1] + pull)
+    r = y = np.full(len(n), max(1.0, least))
+    t = 1.0
+    for _ in range(rounds):
+        g = p @ ((w * y) @ p - goal) + pull * (y - 1)
+        new = np.maximum(least, y - step * g)
+        if ((y - new) * (new - r)).sum() > 0:
+            t = 1.0  # restart
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        y, r, t = new + (t - 1) / after * (new - r), new, after
+    return (w * r) @ p
+
+
+CASES = {
+    "skewed": ([5, 3, 1], [0.05, 0.05, 0.9], 1.0, 0.0),
+    "zero target": ([1, 1, 1], [0.5, 0.5, 0.0], 1.0, 0.0),
+    "two zero targets": ([1, 1, 1], [1.0, 0.0, 0.0], 0.8, 0.0),
+    "least 1": ([2, 1, 1], [0.7, 0.2, 0.1], 1.5, 1.0),
+    "least 1, out of reach": ([2, 1, 1], [0.05, 0.05, 0.9], 1.0, 1.0),
+    "within reach": ([0.3, 0.3, 0.3], [0.7, 0.2, 0.1], 1.5, 0.0),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_fit_equals_plain_projected_least_squares(spark, case):
+    alpha, target, budget, least = CASES[case]
     rng = np.random.default_rng(2)
-    p, n = rng.dirichlet([0.3, 0.3, 0.3], 200), rng.integers(1, 100, 200)
+    p, n = rng.dirichlet(alpha, 300), rng.integers(1, 100, 300)
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posteriors array<double>")
-    fit = mixing.fit_rates(members, np.array([0.7, 0.2, 0.1]), budget=1.5)
+    fit = mixing.fit_rates(members, np.array(target), budget=budget, least=least)
     rates = fit.of(p)
     share = (n * rates) @ p / n.sum()
-    assert share == pytest.approx(1.5 * np.array([0.7, 0.2, 0.1]), abs=2e-3) and (rates >= 0).all()
-    assert share == pytest.approx(fit.fitted, abs=1e-9)
-    assert (mixing.fit_rates(members, np.array([0.7, 0.2, 0.1]), budget=1.5, least=1.0).of(p) >= 1).all()
+    assert fit.converged and (rates >= least).all() and share == pytest.approx(fit.fitted, abs=1e-9)
+    want = plain_fit(n, p, budget * np.array(target), least, 1e-8, 20_000)
+    assert share == pytest.approx(want, abs=1e-3)
+    lost = lambda s: ((s - budget * np.array(target)) ** 2).sum()
+    assert lost(share) <= lost(want) + 1e-6
+    if case == "within reach":
+        assert share == pytest.approx(budget * np.array(target), abs=1e-4)
+    if case in ("zero target", "two zero targets", "least 1", "least 1, out of reach"):
+        assert (rates == least).sum() > 10  # the bound holds some rates
+
+
+def test_skewed_target_of_overlapping_domains_is_reached(spark):
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet([1, 1, 1], 2000), rng.integers(1, 100, 2000)
+    members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posteriors array<double>")
+    fit = mixing.fit_rates(members, np.array([0.05, 0.05, 0.9]))
+    assert fit.converged and fit.fitted == pytest.approx([0.05, 0.05, 0.9], abs=1e-4)
 
 
 def test_batched_posteriors_equal_single_ones(spark):
@@ -70,7 +112,22 @@ def test_cases(spark):
     assert sorted(r.doc_id or 0 for r in mixing.resample(docs, spark.createDataFrame([(1, 2.0), (2, 1.0), (3, 0.0)], "doc_id long, rate double")).collect()) == [0, 1, 1, 2, 2]
 
 
+def test_clashing_names_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", 5, 6, 7.0, 8, 9), (2, "long " * 200_000, None, 5, 6, 7.0, 8, 9), (None, "c", "de", 5, 6, 7.0, 8, 9)], "doc_id long, text string, lang string, quality int, _copies int, rate double, _of int, label int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, lang int")
+    rated, model, fit = mixing.mix(docs, mixing.quality_domains(docs, labels), budget=None, least=1.0)
+    assert model.domains == ["?/poor", "en/good"] and {r.n_tokens for r in rated.collect()} == {1, 2, 200_000}
+    out = mixing.resample(docs, rated)
+    assert out.columns == docs.columns and out.count() >= 3
+    told = {r.domain: r for r in mixing.report(spark, model, fit).collect()}
+    assert set(told) == set(model.domains) and all(abs(r.reached - r.target - r.residual) < 1e-12 for r in told.values())
+    with pytest.raises(ValueError):
+        mixing.mix(docs, mixing.quality_domains(docs, labels), {"en/good": -1.0})
+
+
 def test_query_on_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     got = mixing.query(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
     assert len(got) == 1000 and np.mean([r.domain[:2] == r.lang for r in got]) > 0.97 and all(r.rate >= 0 for r in got)
+    assert all(r.converged for r in got) and sum(r.rate == 0 for r in got) > 10  # rates at the bound
+    assert all(abs(r.domain_reached - r.domain_target) < 0.01 for r in got)
