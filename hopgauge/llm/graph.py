@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopgauge.llm.common import written
+from hopgauge.llm.common import spent, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,10 +13,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of contraction: every node joins its smallest closed neighbour (by number and by a keyed hash in turn, so that stars
     and chains both shrink), then links between the joined nodes remain. Each round leaves written tables in the shared folder
-    and costs a few shuffles of what remains; nothing is collected. Links to itself, repeated and null ones do no harm.
+    and costs a few shuffles of what remains; nothing is collected. Tables of earlier rounds are removed. Links to itself, repeated and null
+    ones do no harm.
     """
     live = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     live, labels, turn = written(live, "links"), None, 0
+    known = held = live
     while not live.isEmpty():
 
         def order(node: Column | str, turn: int = turn) -> Column:
@@ -28,12 +30,16 @@ def components(links: DataFrame) -> DataFrame:
         joins = written(joins, "joins")
         to_a, to_b = joins.select(F.col("node").alias("a"), F.col("to").alias("ta")), joins.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = live.join(to_a, "a").join(to_b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        live = written(live, "links")
+        before, live = known, written(live, "links")
+        known = live
+        spent(before)
         if labels is None:
-            labels = joins.withColumnRenamed("to", "label")
+            labels, held = joins.withColumnRenamed("to", "label"), joins
         else:
             moved = joins.select(F.col("node").alias("label"), "to")
             labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            spent(held, joins)
+            held = labels
         turn += 1
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))

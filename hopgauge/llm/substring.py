@@ -5,20 +5,21 @@ A window is ``window`` consecutive words; a word goes if a window over it also s
 1. Passages. Every window is assigned to the phrase of ``phrase`` words in it whose hash is least (the leftmost of equals): equal
    windows have the same phrase at the same place. Neighbouring windows with the same phrase form a passage, from the first
    word of the first window to the last word of the last. Passages are few (about 2 windows in ``window``), and every window is in one.
-2. Recurring passages are confirmed by grouping on phrase and passage hash (128 bits in all). A passage that stands as a whole in
-   an earlier document goes as a whole; this settles copies. What a single window of the others may still remove depends only on the
-   passage's words and its earliest document, so each distinct passage is searched once, for all its occurrences there.
-3. Distinct passages that share a phrase may still have single windows in common (their ends differ). The windows of
-   these passages are grouped by hash; those of two or more documents are the recurring ones and are compiled, from the text of the
-   earliest document, into Aho-Corasick automata (pyahocorasick, over words), sharded by phrase. Passages stream
-   through their shard's automaton, which locates every occurrence exactly; what is found, relative to the passage, is joined back to every occurrence
-   in the passage's earliest document (and to those of all documents without an id). A phrase with many passages gets many shards: its
-   passages are dealt over them and its recurring windows, which are counted before, go to each.
+2. Recurring phrases are confirmed by counting: a phrase that only one document holds has no window that recurs, and its passages
+   need no search. The others' passages stream through automata; equal passages (by two hashes of 64 bits) do so once, for all documents that hold them.
+3. Automata are sharded by phrase: all passages of a phrase meet in one task, which compiles the windows that two or more documents
+   hold into an Aho-Corasick automaton (pyahocorasick, over words), each with its earliest document, and streams the passages through it. A task takes
+   one phrase after the other and starts a new automaton every PATTERNS windows.
+4. A phrase with more than SHARD different passages is dealt over many shards: its recurring windows are confirmed by a grouping of
+   window hashes over all tasks, dealt into blocks of about PATTERNS windows, and every shard of passages streams through every block. Such a phrase has few recurring
+   windows as a rule (its passages differ at their ends); the work for one with many of both grows with their product, memory does not.
+5. What an automaton locates (first word, end, earliest document) is relative to the passage and is joined back to every occurrence
+   of it; an occurrence loses what an earlier document than its own holds.
 
 No step holds all occurrences of a phrase or window in one task.
 
-Defined results: null text: no words; null doc_ids stand after all others and are never earlier than each other; rows with the same
-doc_id are told apart by their text; documents shorter than a window keep everything; other columns are ignored; an empty
+Defined results: null text: no words; null doc_ids stand after all others (with the id 2^63 - 1, if there is one) and are never earlier than each other; rows
+with the same doc_id are told apart by their text; documents shorter than a window keep everything; other columns are ignored; an empty
 table gives an empty table.
 """
 
@@ -32,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopgauge.llm.common import partitions, table, written
+from hopgauge.llm.common import partitions, spent, table, written
 
 WINDOW, PHRASE = 50, 8
-#: Passages of one phrase in one shard, and windows in one automaton, about.
-SHARD = 4096
+#: Different passages of one phrase that one task takes, and windows in one automaton, about.
+SHARD, PATTERNS = 1024, 1 << 15
 #: Entries of a worker's memory of word hashes; it is emptied when full.
 MEMORY = 1 << 19
 LAST = 2**63 - 1
@@ -97,9 +98,10 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """d (doc_id, null last), k (tells apart rows of one doc_id), text."""
+    """doc_id, d (its rank: null last), k (tells apart rows of one doc_id), text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("d"), F.xxhash64(text).alias("k"), text.alias("text"))
 
 
 def _passages(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -132,47 +134,146 @@ def _passages(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _spans(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of wanted passages (phrase, passage, d, k, first, last) as text: phrase, passage, d, words."""
-    lists = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("phrase", "passage", "first", "last")).alias("of"))
+    """The words of wanted passages (phrase, n, passage, most, d, k, first, last) as text: phrase, n, passage, d, most, words."""
+    lists = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("phrase", "n", "passage", "most", "first", "last")).alias("of"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d, text, of in zip(*(batch.column(i) for i in range(3)), strict=True):
+            found: list[list] = [[], [], [], [], [], []]
+            for d, text, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = _split(text.as_py())
-                rows += [(x["phrase"], x["passage"], d.as_py(), b" ".join(words[x["first"] : x["last"] + window]).decode("utf-8", "surrogatepass")) for x in of.as_py()]
-            yield pa.RecordBatch.from_pylist([dict(zip(SPANS.names, r, strict=True)) for r in rows], SPANS)
+                for x in of:
+                    row = (x["phrase"], x["n"], x["passage"], d, x["most"], b" ".join(words[x["first"] : x["last"] + window]).decode("utf-8", "surrogatepass"))
+                    for column, value in zip(found, row, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, SPANS.types, strict=True)], SPANS.names)
 
     # rows of one doc_id with the same text are one row here: the text is cut once
-    return keyed.dropDuplicates(["d", "k"]).join(lists, ["d", "k"]).select("d", "text", "of").mapInArrow(cut, "phrase long, passage long, d long, words string")
+    texts = keyed.select("d", "k", "text").dropDuplicates(["d", "k"])
+    return texts.join(lists, ["d", "k"]).select("d", "text", "of").mapInArrow(cut, "phrase long, n long, passage long, d long, most long, words string")
+
+
+SPANS = pa.schema([("phrase", pa.int64()), ("n", pa.int64()), ("passage", pa.int64()), ("d", pa.int64()), ("most", pa.int64()), ("words", pa.string())])
+FOUND = pa.schema([("phrase", pa.int64()), ("passage", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("owner", pa.int64())])
+FOUND_TYPES = "phrase long, passage long, start int, end int, owner long"
+
+
+class Coder:
+    """Words as characters, so that an automaton's steps are words. A block's words are far fewer than there are characters."""
+
+    def __init__(self) -> None:
+        self.codes: dict[bytes, str] = {}
+
+    def coded(self, words: list[bytes]) -> str:
+        codes = self.codes
+        return "".join([codes.get(w) or codes.setdefault(w, chr(len(codes) + 1 + (0x800 if len(codes) + 1 >= 0xD800 else 0))) for w in words])
+
+    def known(self, words: list[bytes]) -> str:
+        return "".join([self.codes.get(w, "\0") for w in words])
+
+
+def runs(owners: dict[str, int], lines: Iterable[str], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """Number of the line, first word, end and owner of every run of windows with one owner that the automaton of owners locates in lines."""
+    from ahocorasick import Automaton
+
+    if not owners:
+        return
+    automaton = Automaton()
+    for w, d in owners.items():
+        automaton.add_word(w, d)
+    automaton.make_automaton()
+    for number, line in enumerate(lines):
+        start = end = whose = None
+        for last, owner in automaton.iter(line):
+            if owner == whose and last == end:
+                end = last + 1
+                continue
+            if whose is not None:
+                yield number, start, end, whose
+            start, end, whose = last - window + 1, last + 1, owner
+        if whose is not None:
+            yield number, start, end, whose
+
+
+def locate_all(spans: list[tuple[int, int, str]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``runs`` in the spans (d, most, words) of their own recurring windows: those that documents of two or more ids hold."""
+    coder = Coder()
+    lines = [coder.coded(_split(words)) for _, _, words in spans]
+    least: dict[str, int] = {}
+    latest: dict[str, int] = {}
+    for (d, most, _), line in zip(spans, lines, strict=True):
+        for k in range(len(line) - window + 1):
+            w = line[k : k + window]
+            if w in least:
+                least[w], latest[w] = min(d, least[w]), max(most, latest[w])
+            else:
+                least[w], latest[w] = d, most
+    yield from runs({w: d for w, d in least.items() if d < latest[w]}, lines, window)
+
+
+def locate(patterns: Iterable[tuple[int, str]], texts: Iterable[str], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``runs`` in texts of the windows of patterns (owner, words)."""
+    coder = Coder()
+    owners: dict[str, int] = {}
+    for d, words in patterns:
+        line = coder.coded(_split(words))
+        for k in range(len(line) - window + 1):
+            w = line[k : k + window]
+            owners[w] = min(d, owners.get(w, d))
+    yield from runs(owners, (coder.known(_split(t)) for t in texts), window)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, FOUND.types, strict=True)], FOUND.names)
+
+
+def _meetings(spans: DataFrame, window: int) -> DataFrame:
+    """phrase, passage, start, end, owner: located in the spans of phrases that one task takes."""
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        windows, phrase = 0, None
 
-SPANS = pa.schema([("phrase", pa.int64()), ("passage", pa.int64()), ("d", pa.int64()), ("words", pa.string())])
-FOUND = pa.schema([("phrase", pa.int64()), ("passage", pa.int64()), ("d", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+        def found() -> pa.RecordBatch:
+            return _batch([(*held[i][:2], start, end, owner) for i, start, end, owner in locate_all([h[2:] for h in held], window)])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if row[0] != phrase:
+                    if windows > PATTERNS:
+                        yield found()
+                        held, windows = [], 0
+                    phrase = row[0]
+                held.append(row)
+                windows += row[4].count(" ") + 2 - window
+        yield found()
+
+    n = partitions(spans.sparkSession)
+    return spans.select("phrase", "passage", "d", "most", "words").repartition(n, "phrase").sortWithinPartitions("phrase").mapInArrow(stream, FOUND_TYPES)
 
 
 def _windows(spans: DataFrame, window: int) -> DataFrame:
-    """a, b (two hashes), phrase, passage, d, at: each window of the spans, at words after the span's first."""
+    """a, b (two hashes), phrase, passage, d, most, at: each window of the spans, at words after the span's first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = []
-            for text in batch.column(3):
+            for text in batch.column(4):
                 h = word_hashes(_split(text.as_py()))
                 each.append((window_hashes(h, window), window_hashes(h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(31)), window, 0xC2B2AE3D27D4EB4F)))
             n = np.array([len(x) for x, _ in each], np.int64)
             row = np.repeat(np.arange(len(each)), n)
             at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             a, b = (np.concatenate([e[i] for e in each] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
-            kept = [batch.column(i).take(pa.array(row)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *kept, pa.array(at.astype(np.int32))], ["a", "b", "phrase", "passage", "d", "at"])
+            kept = [batch.column(i).take(pa.array(row)) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *kept, pa.array(at.astype(np.int32))], ["a", "b", "phrase", "passage", "d", "most", "at"])
 
-    return spans.mapInArrow(cut, "a long, b long, phrase long, passage long, d long, at int")
+    return spans.select("phrase", "passage", "d", "most", "words").mapInArrow(cut, "a long, b long, phrase long, passage long, d long, most long, at int")
 
 
 def _patterns(spans: DataFrame, window: int) -> DataFrame:
-    """phrase, d, words: recurring windows, as runs of words of the earliest document that holds them."""
-    seen = _windows(spans, window).groupBy("a", "b").agg(F.min(F.struct("d", "phrase", "passage", "at")).alias("of"), F.max("d").alias("most")).where("of.d < most")
+    """phrase, owner, words: recurring windows, as runs of words of the earliest document that holds them."""
+    seen = _windows(spans, window).groupBy("a", "b").agg(F.min(F.struct("d", "phrase", "passage", "at")).alias("of"), F.max("most").alias("most")).where("of.d < most")
     lists = seen.groupBy("of.phrase", "of.passage").agg(F.collect_list("of.at").alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,55 +285,20 @@ def _patterns(spans: DataFrame, window: int) -> DataFrame:
                     phrases.append(phrase)
                     ds.append(d)
                     texts.append(b" ".join(words[run[0] : run[-1] + window]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.int64()), pa.array(ds, pa.int64()), pa.array(texts, pa.string())], ["phrase", "d", "words"])
-
-    return spans.join(lists, ["phrase", "passage"]).select("phrase", "d", "words", "at").mapInArrow(cut, "phrase long, d long, words string")
-
-
-def locate(patterns: Iterable[tuple[int, str]], texts: Iterable[tuple[int, str]], window: int) -> Iterator[tuple[int, int, int]]:
-    """Number of the text, first word and end of every run of words covered by a window of a pattern with a smaller number d.
-
-    patterns: (d, words); texts: (d, words). Words become characters, so the automaton's steps are words.
-    """
-    from ahocorasick import Automaton
+            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.int64()), pa.array(ds, pa.int64()), pa.array(texts, pa.string())], ["phrase", "owner", "words"])
 
-    codes: dict[bytes, str] = {}
+    return spans.join(lists, ["phrase", "passage"]).select("phrase", "d", "words", "at").mapInArrow(cut, "phrase long, owner long, words string")
 
-    def coded(words: list[bytes]) -> str:
-        return "".join([codes.get(w) or codes.setdefault(w, chr(len(codes) + 1 + (0x800 if len(codes) + 1 >= 0xD800 else 0))) for w in words])
-
-    least: dict[str, int] = {}
-    for d, text in patterns:
-        line = coded(_split(text))
-        for k in range(len(line) - window + 1):
-            w = line[k : k + window]
-            least[w] = min(d, least.get(w, d))
-    if not least:
-        return
-    automaton = Automaton()
-    for w, d in least.items():
-        automaton.add_word(w, d)
-    automaton.make_automaton()
-    for number, (d, text) in enumerate(texts):
-        start = end = None
-        for last, owner in automaton.iter("".join([codes.get(w, "\0") for w in _split(text)])):
-            if owner < d:
-                if end is not None and last - window + 1 <= end:
-                    end = last + 1
-                else:
-                    if end is not None:
-                        yield number, start, end
-                    start, end = last - window + 1, last + 1
-        if end is not None:
-            yield number, start, end
 
-
-def _occurrences(spans: DataFrame, patterns: DataFrame, window: int) -> DataFrame:
-    """phrase, passage, d, start, end: words of spans, from the span's first, that a recurring window of an earlier document covers."""
-    shards = spans.groupBy("phrase").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards")).join(patterns.select("phrase").distinct(), "phrase", "left_semi")
-    n = partitions(spans.sparkSession)
-    dealt = spans.join(shards, "phrase").select("phrase", F.pmod(F.xxhash64("passage"), F.col("shards")).cast("int").alias("shard"), F.lit(1).alias("kind"), "passage", "d", "words")
-    given = patterns.join(shards, "phrase").select("phrase", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("passage"), "d", "words")
+def _crowds(spans: DataFrame, patterns: DataFrame, window: int) -> DataFrame:
+    """phrase, passage, start, end, owner: located in the spans of phrases that are dealt over shards. A phrase's patterns are dealt into blocks."""
+    per_block = max(1, PATTERNS // window)
+    blocks = patterns.groupBy("phrase").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("blocks"))
+    shards = F.ceil(F.col("n") / SHARD).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    dealt = spans.join(blocks, "phrase").select("phrase", each(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("passage"), shards).cast("int").alias("shard"), F.lit(1).alias("kind"), "passage", F.lit(0).cast("long").alias("owner"), "words")
+    given = patterns.join(blocks, "phrase").join(spans.groupBy("phrase").agg(F.max(shards).alias("shards")), "phrase")
+    given = given.select("phrase", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int").alias("block"), each(F.col("shards")).alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("passage"), "owner", "words")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns: list[tuple] = []
@@ -240,24 +306,21 @@ def _occurrences(spans: DataFrame, patterns: DataFrame, window: int) -> DataFram
         group = None
 
         def found() -> pa.RecordBatch:
-            out = [(*texts[i][:3], start, end) for i, start, end in locate(patterns, (t[2:] for t in texts), window)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 5, FOUND.types, strict=True)], FOUND.names)
+            return _batch([(*texts[i][:2], start, end, owner) for i, start, end, owner in locate(patterns, (t[2] for t in texts), window)])
 
         for batch in batches:
-            for phrase, shard, kind, passage, d, words in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (phrase, shard) != group:
-                    if len(patterns) + len(texts) > SHARD:
-                        yield found()
-                        patterns, texts = [], []
-                    group = (phrase, shard)
+            for phrase, block, shard, kind, passage, owner, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (phrase, block, shard) != group:
+                    yield found()
+                    patterns, texts, group = [], [], (phrase, block, shard)
                 if kind:
-                    texts.append((phrase, passage, d, words))
+                    texts.append((phrase, passage, words))
                 else:
-                    patterns.append((d, words))
+                    patterns.append((owner, words))
         yield found()
 
-    order = ["phrase", "shard", "kind"]
-    return dealt.unionByName(given).repartition(n, "phrase", "shard").sortWithinPartitions(*order).mapInArrow(stream, "phrase long, passage long, d long, start int, end int")
+    keys = ["phrase", "block", "shard"]
+    return dealt.unionByName(given).repartition(partitions(spans.sparkSession), *keys).sortWithinPartitions(*keys, "kind").mapInArrow(stream, FOUND_TYPES)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -265,18 +328,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     keyed = _keyed(docs)
     passages = written(_passages(keyed, window, phrase), "passages")
     distinct = written(passages.groupBy("phrase", "passage").agg(F.min(F.struct("d", "k", "first", "last")).alias("of"), F.max("d").alias("most")), "distinct")
-    copied = distinct.where("of.d < most").select("phrase", "passage", F.col("of.d").alias("d0"))
-    shared = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("of.d").alias("d0"), F.max("of.d").alias("d1")).where("n > 1 AND d0 < d1").select("phrase")
-    wanted = distinct.join(shared, "phrase").select("phrase", "passage", "of.*")
-    spans = written(_spans(keyed, wanted, window), "spans")
-    parts = _occurrences(spans, written(_patterns(spans, window), "patterns"), window)
-    parts = parts.groupBy("phrase", "passage", F.col("d").alias("d0")).agg(F.collect_list(F.struct("start", "end")).alias("parts"))
-    # one row without parts for what later documents lose, one with parts for what all occurrences in the earliest document lose
-    answers = copied.withColumn("parts", F.lit(None).cast(parts.schema["parts"].dataType)).unionByName(parts)
-    lost = passages.join(answers, ["phrase", "passage"]).where("CASE WHEN parts IS NULL THEN d > d0 ELSE d = d0 END")
-    all_of_it = F.array(F.struct(F.lit(0).alias("start"), (F.col("last") - F.col("first") + window).alias("end")))
-    lost = lost.select("d", "k", "first", F.explode(F.coalesce("parts", all_of_it)).alias("of"))
-    return lost.select("d", "k", (F.col("first") + F.col("of.start")).alias("start"), (F.col("first") + F.col("of.end")).alias("end"))
+    phrases = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("of.d").alias("d0"), F.max("most").alias("d1")).where("d0 < d1").select("phrase", "n")
+    spans = written(_spans(keyed, distinct.join(phrases, "phrase").select("phrase", "n", "passage", "most", "of.*"), window), "spans")
+    spent(distinct)
+    found = _meetings(spans.where(F.col("n") <= SHARD), window)
+    crowd = spans.where(F.col("n") > SHARD)
+    if not crowd.isEmpty():
+        found = found.unionByName(_crowds(crowd, written(_patterns(crowd, window), "patterns"), window))
+    found = written(found, "found")
+    spent(spans)
+    lost = passages.join(found, ["phrase", "passage"]).where("owner < d")
+    return lost.select("d", "k", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -294,10 +356,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                 n_words.append(len(words))
                 n_removed.append(len(words) - int(stays.sum()))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)] if n_removed[-1] else words).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["d", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    out = _keyed(docs).join(gone, ["d", "k"], "left").select("d", "text", "gone").mapInArrow(keep, "d long, n_words long, n_removed long, kept string")
-    return out.select(F.nullif("d", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", "kept")
+    return _keyed(docs).join(gone, ["d", "k"], "left").select("doc_id", "text", "gone").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,12 +50,33 @@ def test_spliced_texts(spark, seed):
     assert check(spark, rows, 10, 3) > 200
 
 
-def test_repeating_words_and_shards(spark, monkeypatch):
+@pytest.mark.parametrize("patterns", [1 << 15, 20])
+def test_repeating_words_and_shards(spark, monkeypatch, patterns):
+    """Phrases of many passages are dealt over shards, their recurring windows over blocks."""
     monkeypatch.setattr(substring, "SHARD", 3)
+    monkeypatch.setattr(substring, "PATTERNS", patterns)
     rows = [(k, " ".join(["a"] * (8 + k % 5) + [f"x{k}"] + ["a", "b"] * 6)) for k in range(40)]
+    rows += [(100 + k, " ".join([f"y{k // 2}", "p", "q", "r"] + [f"z{k // 2}_{j}" for j in range(9)])) for k in range(40)]
     assert check(spark, rows, 10, 3) > 100
 
 
+def test_every_removed_word_comes_through_an_automaton(spark, monkeypatch):
+    """Without what the automata locate nothing is removed, whole copies included."""
+    monkeypatch.setattr(substring, "runs", lambda owners, lines, window: iter(()))
+    source = substring.locate_all.__globals__["runs"]
+    assert list(source({"x": 1}, ["x"], 1)) == [] and list(substring.locate_all([(1, 2, "a b c")], 2)) == []
+
+
+def test_long_text_and_largest_id(spark):
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(120_000))
+    rows = [(LAST, "m " + long[:900]), (1, long), (2, "x " + long + " y"), (None, long[:700])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring.remove_repeats(df).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].kept) == (0, 120_000, "x y")
+    assert set(got) == {1, 2, LAST, None} and got[None].n_words - got[None].n_removed <= 1 and got[LAST].kept.startswith("m ") or got[LAST].kept == "m"
+
+
 def test_passages_repeated_within_their_earliest_document(spark):
     """Document 1 holds a line amid other text; document 2 repeats it, so its passages have other ends and recur within 2."""
     words = lambda name, n: [f"{name}{k}" for k in range(n)]
