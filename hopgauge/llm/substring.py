@@ -172,43 +172,48 @@ class Coder:
         return "".join([self.codes.get(w, "\0") for w in words])
 
 
-def runs(owners: dict[str, int], lines: Iterable[str], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Number of the line, first word, end and owner of every run of windows with one owner that the automaton of owners locates in lines."""
+def runs(owners: dict[str, int], lines: Iterable[str]) -> Iterator[tuple[int, int, int, int]]:
+    """Number of the line, first word, end and owner of every run of one owner's patterns that the automaton of owners locates in lines."""
     from ahocorasick import Automaton
 
     if not owners:
         return
     automaton = Automaton()
     for w, d in owners.items():
-        automaton.add_word(w, d)
+        automaton.add_word(w, (len(w), d))
     automaton.make_automaton()
     for number, line in enumerate(lines):
         start = end = whose = None
-        for last, owner in automaton.iter(line):
-            if owner == whose and last == end:
+        for last, (size, owner) in automaton.iter(line):
+            first = last - size + 1
+            if owner == whose and start <= first <= end:
                 end = last + 1
                 continue
             if whose is not None:
                 yield number, start, end, whose
-            start, end, whose = last - window + 1, last + 1, owner
+            start, end, whose = first, last + 1, owner
         if whose is not None:
             yield number, start, end, whose
 
 
-def locate_all(spans: list[tuple[int, int, str]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """``runs`` in the spans (d, most, words) of their own recurring windows: those that documents of two or more ids hold."""
+def locate_all(spans: list[tuple[int, int, int, str]], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``runs`` in the spans (n, d, most, words) of their own recurring windows: those that documents of two or more ids hold.
+
+    A span that is its phrase's only one (n = 1) recurs as a whole and is one pattern.
+    """
     coder = Coder()
-    lines = [coder.coded(_split(words)) for _, _, words in spans]
+    lines = [coder.coded(_split(words)) for *_, words in spans]
     least: dict[str, int] = {}
     latest: dict[str, int] = {}
-    for (d, most, _), line in zip(spans, lines, strict=True):
-        for k in range(len(line) - window + 1):
-            w = line[k : k + window]
+    for (n, d, most, _), line in zip(spans, lines, strict=True):
+        size = len(line) if n == 1 else window
+        for k in range(len(line) - size + 1):
+            w = line[k : k + size]
             if w in least:
                 least[w], latest[w] = min(d, least[w]), max(most, latest[w])
             else:
                 least[w], latest[w] = d, most
-    yield from runs({w: d for w, d in least.items() if d < latest[w]}, lines, window)
+    yield from runs({w: d for w, d in least.items() if d < latest[w]}, lines)
 
 
 def locate(patterns: Iterable[tuple[int, str]], texts: Iterable[str], window: int) -> Iterator[tuple[int, int, int, int]]:
@@ -220,7 +225,7 @@ def locate(patterns: Iterable[tuple[int, str]], texts: Iterable[str], window: in
         for k in range(len(line) - window + 1):
             w = line[k : k + window]
             owners[w] = min(d, owners.get(w, d))
-    yield from runs(owners, (coder.known(_split(t)) for t in texts), window)
+    yield from runs(owners, (coder.known(_split(t)) for t in texts))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,18 +243,18 @@ def _meetings(spans: DataFrame, window: int) -> DataFrame:
             return _batch([(*held[i][:2], start, end, owner) for i, start, end, owner in locate_all([h[2:] for h in held], window)])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if row[0] != phrase:
                     if windows > PATTERNS:
                         yield found()
                         held, windows = [], 0
                     phrase = row[0]
                 held.append(row)
-                windows += row[4].count(" ") + 2 - window
+                windows += 1 if row[2] == 1 else row[5].count(" ") + 2 - window
         yield found()
 
     n = partitions(spans.sparkSession)
-    return spans.select("phrase", "passage", "d", "most", "words").repartition(n, "phrase").sortWithinPartitions("phrase").mapInArrow(stream, FOUND_TYPES)
+    return spans.select("phrase", "passage", "n", "d", "most", "words").repartition(n, "phrase").sortWithinPartitions("phrase").mapInArrow(stream, FOUND_TYPES)
 
 
 def _windows(spans: DataFrame, window: int) -> DataFrame:

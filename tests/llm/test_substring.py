@@ -60,11 +60,12 @@ def test_repeating_words_and_shards(spark, monkeypatch, patterns):
     assert check(spark, rows, 10, 3) > 100
 
 
-def test_every_removed_word_comes_through_an_automaton(spark, monkeypatch):
-    """Without what the automata locate nothing is removed, whole copies included."""
-    monkeypatch.setattr(substring, "runs", lambda owners, lines, window: iter(()))
-    source = substring.locate_all.__globals__["runs"]
-    assert list(source({"x": 1}, ["x"], 1)) == [] and list(substring.locate_all([(1, 2, "a b c")], 2)) == []
+def test_located_runs():
+    a, b = " ".join("abcdefgh"), " ".join("xbcdefgy")
+    assert list(substring.locate_all([(1, 1, 5, a)], 3)) == [(0, 0, 8, 1)]  # a copied passage as a whole
+    assert list(substring.locate_all([(1, 1, 1, a)], 3)) == []
+    assert list(substring.locate_all([(2, 1, 1, a), (2, 4, 4, b)], 3)) == [(0, 1, 7, 1), (1, 1, 7, 1)]
+    assert list(substring.locate([(3, "b c d e"), (2, "c d e")], ["a b c d e", "q"], 3)) == [(0, 1, 4, 3), (0, 2, 5, 2)]
 
 
 def test_long_text_and_largest_id(spark):
