@@ -58,6 +58,46 @@ def test_unseen_form_of_a_known_stem(scored, spark):
     assert score[0] > 0.5 > score[1]
 
 
+def test_training_learns_from_random_numbers_and_not_by_chance(spark):
+    """What is held out is known after training, and not before it."""
+    rows = corpus()
+    documents = [np.array([tx.rows_of(w) for w in tx._words(r[1])], np.int32).reshape(-1, 2) for r in rows]
+    labels = np.array([r[3] for r in rows], np.float32)
+    texts, real = [r[1] for r in rows[900:]], labels[900:]
+    for sharpness, least, most in ((tx.SHARPNESS, 0.9, 1.0), ((), 0.0, 0.3)):
+        tx.SHARPNESS, before = sharpness, tx.SHARPNESS
+        try:
+            model = tx.train(documents[:900], labels[:900])
+        finally:
+            tx.SHARPNESS = before
+        recall = np.mean(tx.Scorer(model).scores(texts)[real > 0] >= 0.5)
+        assert least <= recall <= most
+
+
+def test_slices_of_long_texts_give_the_same_score(monkeypatch):
+    rng = np.random.default_rng(8)
+    model = tx.Model(rng.normal(size=(tx.ROWS, tx.DIM)).astype(np.float32), rng.normal(size=(tx.DIM, sum(tx.WIDTHS), tx.FILTERS)).astype(np.float32), np.zeros(24), rng.normal(size=24), 0.1)
+    model.embeddings[0] = 0
+    text = " ".join(f"w{k}" for k in rng.integers(0, 900, 3000)) + "\n end"
+    whole = tx.Scorer(model)
+    want = whole.pooled([tx._words(text)])
+    for long, size in ((1000, 100), (37, 7), (10**6, 2999)):
+        monkeypatch.setattr(tx, "LONG", long)
+        monkeypatch.setattr(tx, "SLICE", size)
+        parts = [whole.pooled([words], [counted]) for words, counted in tx.slices(text)]
+        assert np.allclose(np.max(parts, axis=0), want) and sum(c for _, c in tx.slices(text)) == 3001
+        assert whole.long_score(text) == pytest.approx(whole.scores([text]))
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tx, "LONGEST", 50)
+    monkeypatch.setattr(tx, "CHARACTERS", 300)
+    docs = spark.createDataFrame([(k, "a" * (k % 80)) for k in range(200)] + [(7, "abc")] * 50 + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = tx.sampled(docs, labels, 60).collect()
+    assert 0 < len(got) == len({r.doc_id for r in got}) and sum(r.doc_id % 80 for r in got) <= 300
+
+
 def test_convolution_equals_plain_version():
     rng = np.random.default_rng(3)
     model = tx.Model(rng.normal(size=(tx.ROWS, tx.DIM)).astype(np.float32), rng.normal(size=(tx.DIM, sum(tx.WIDTHS), tx.FILTERS)).astype(np.float32), rng.normal(size=tx.FILTERS * len(tx.WIDTHS)), rng.normal(size=tx.FILTERS * len(tx.WIDTHS)), 0.1)
