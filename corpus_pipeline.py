@@ -2,7 +2,7 @@
 
 toxicity     documents over their language's calibrated threshold go
 simhash      of each group of near copies (five-word shingles that overlap by 0.8 or more) the document with the smallest doc_id stays
-pii          personal data in texts get surrogates; n_chars follows the new text
+pii          personal data in texts get surrogates under the key of spark.hopgauge.surrogate.key (a fresh one if not set); n_chars follows the new text
 mixing       documents are repeated to bring the domains' token totals nearer to each other; none goes (rates are at least 1)
 packing      documents become pieces in sequences of at most 2048 tokens
 
@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    new = pii.replace_entities(docs).select(*docs.columns)
+    new = pii.replace_entities(docs, pii.key_of(spark)).select(*docs.columns)
     return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
 
 
