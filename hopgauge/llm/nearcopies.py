@@ -6,9 +6,9 @@ each block, and a row is sent to its home in every block. Rows that meet are can
 at most NEAR bits; candidates link if the exact overlap of their sets says so.
 
 Links are exact, finding them is not: at an overlap of 0.8 two rows share a block's home with probability 0.12 (0.14 at 0.83, 0.18 at
-0.87). Of more than CLOSEST candidates before a row at one anchor only the closest are verified; rows of large groups stay
-connected through those. All rows of an anchor are compared in one task, in blocks of bounded size: rows at an anchor are
-about the number of different texts / 4096.
+0.87). Of the candidates before a row at one anchor the CLOSEST are verified first; if there are more, the rest follows in further rounds
+of growing size, save those that the links so far already connect, so that large groups never emit all their pairs and no candidate is left out. All
+rows of an anchor are compared in one task, in blocks of bounded size: rows at an anchor are about the number of different texts / 4096.
 
 Defined results: rows with the same set are one node; texts without words have the same (empty) set; texts of fewer words than a shingle
 are one shingle; null and repeated doc_ids are treated as in ``simhash``.
@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopgauge.llm.common import written
+from hopgauge.llm.common import spent, written
 from hopgauge.llm.graph import components
-from hopgauge.llm.simhash import _patterns, _syndrome
+from hopgauge.llm.simhash import _patterns, _syndrome, first_rows
 
 BLOCKS = 24
 #: Bits of 128 that candidates may differ in: at an overlap of 0.8, 19.3 on average with a deviation of 4.1.
 NEAR = 32
-#: Candidates before a row at one anchor that are verified.
-CLOSEST = 8
+#: Candidates before a row at one anchor that are verified in the first round, and up to which those of further rounds go (None: all).
+CLOSEST, FURTHER = 8, (64, 512, None)
 #: Words of 64 bits: the blocks' and two for the comparison at an anchor.
 WORDS = -(-BLOCKS * 23 // 64) + 2
 _ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,28 +97,35 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text")).mapInArrow(of, "doc_id long, k long, node long, u long, v long, at array<int>")
 
 
-def near_at(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of candidates among the rows of one anchor: a row, and a row before it."""
-    left, right = [], []
+def near_at(u: np.ndarray, v: np.ndarray, label: np.ndarray, low: int, high: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Among the rows of one anchor: positions of a row and of a candidate before it with another label, of the row's candidates from
+    the low-th to the high-th closest; and of rows with further ones beyond."""
+    left, right, more = [], [], []
     for k in range(0, len(u), ROWS):
         end = min(k + ROWS, len(u))
         apart = np.bitwise_count(u[k:end, None] ^ u[None, :end]) + np.bitwise_count(v[k:end, None] ^ v[None, :end])
         near = (apart <= NEAR) & (np.arange(end)[None, :] < np.arange(k, end)[:, None])
-        many = np.flatnonzero(near.sum(1) > CLOSEST)
-        for i in many:
+        other = label[k:end, None] != label[None, :end]
+        for i in np.flatnonzero(near.sum(1) > (high or len(u)) if not low else (near & other).any(1)):
             j = np.flatnonzero(near[i])
-            near[i, np.delete(j, np.argpartition(apart[i, j], CLOSEST)[:CLOSEST])] = False
-        i, j = np.nonzero(near)
+            j = j[np.argsort(apart[i, j], kind="stable")]
+            if high is not None and other[i, j[high:]].any():
+                more.append(i + k)
+            near[i] = False
+            near[i, j[low:high]] = True
+        i, j = np.nonzero(near & other)
         left.append(i + k)
         right.append(j)
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), np.array(more, np.int64)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b (a > b): pairs of nodes that meet at an anchor and differ in few bits; classes: a row for each node."""
+def candidates(classes: DataFrame, low: int = 0, high: int | None = CLOSEST) -> DataFrame:
+    """a, b (a > b): pairs of nodes of different labels that meet at an anchor and differ in few bits, see ``near_at``; a = b: more are left.
+
+    classes: node, label, u, v, at, a row for each node.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
         parts: list[list[np.ndarray]] = []  # batches since the last anchor's begin
 
         def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -126,15 +133,15 @@ def candidates(classes: DataFrame) -> DataFrame:
             found = [np.zeros((2, 0), np.int64)]
             for s, e in zip(starts, [*starts[1:], len(rows[0])], strict=True):
                 if e - s > 1:
-                    i, j = near_at(rows[2][s:e], rows[3][s:e])
-                    found.append(np.stack([rows[1][s + i], rows[1][s + j]]))
+                    i, j, more = near_at(rows[2][s:e], rows[3][s:e], rows[4][s:e], low, high)
+                    found += [np.stack([rows[1][s + i], rows[1][s + j]]), np.stack([rows[1][s + more]] * 2)]
             a, b = np.concatenate(found, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (2, 3))]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(batch.column(i).to_numpy().view(np.uint64) for i in (2, 3)), batch.column(4).to_numpy()]
             if parts and new[0][-1] == parts[0][0][0]:
                 parts.append(new)  # one anchor goes on
                 continue
@@ -146,7 +153,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         if parts:
             yield pairs([np.concatenate(c) for c in zip(*parts, strict=True)])
 
-    sent = classes.select(F.explode("at").alias("anchor"), "node", "u", "v")
+    sent = classes.select(F.explode("at").alias("anchor"), "node", "u", "v", "label")
     return sent.repartition("anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -161,12 +168,8 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(of, "node long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable by links of at least similarity)."""
-    found = written(_nodes(docs, shingle), "nodes")
-    classes = found.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "k", "u", "v", "at")).alias("of"))
-    classes = written(classes.select("node", "first", "of.*"), "classes")
-    pairs = written(candidates(classes), "candidates")
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs whose sets overlap enough. classes: node, doc_id, k of a row with that set."""
     needed = classes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select(F.col("doc_id").alias("d"), "k", "node")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("d0"), F.xxhash64(text).alias("k0"), text.alias("text"))
@@ -174,15 +177,38 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     sets = written(_sets(texts, shingle), "sets")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
-    links = pairs.join(one, "a").join(two, "b").where(both >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b")
-    groups = components(links)
+    links = written(pairs.join(one, "a").join(two, "b").where(both >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - both)).select("a", "b"), "verified")
+    spent(sets)
+    return links
+
+
+def _members(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k, node of every row; node, component, component_id of every node."""
+    found = written(_nodes(docs, shingle), "nodes")
+    classes = found.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "k", "u", "v", "at")).alias("of"))
+    classes = written(classes.select("node", "first", "of.*"), "classes")
+    labelled, links, low = classes.withColumn("label", F.col("node")), None, 0
+    for high in (CLOSEST, *FURTHER):
+        pairs = written(candidates(labelled, low, high), "candidates")
+        new = _verified(docs, classes, pairs.where("a <> b"), shingle, similarity)
+        links = new if links is None else links.unionByName(new)
+        groups = components(links)
+        done = pairs.where("a = b").isEmpty()
+        spent(pairs)
+        if done:
+            break
+        labelled, low = written(classes.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")), "labelled"), high
     named = classes.select("node", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
+    return found, named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component", "component_id")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable by links of at least similarity)."""
+    found, named = _members(docs, shingle, similarity)
     return found.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without those that are not the first (smallest doc_id) of their component; of rows with the same doc_id one stays."""
-    first = near_copies(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.hint("merge").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """docs without those that are not the first of their component; see ``simhash.first_rows``."""
+    found, named = _members(docs, shingle, similarity)
+    return first_rows(docs, found.select("doc_id", "k", "node").join(named, "node").select("doc_id", "k", "component"))

@@ -32,3 +32,29 @@ def test_large_groups_equal_sets_and_missing_values(spark, monkeypatch):
     left = sorted(r.doc_id or -1 for r in nearcopies.drop_near_copies(docs).collect())
     assert left == [-1, -1, 1, 500, 600, 700]
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_further_rounds_leave_no_candidate_out(spark, monkeypatch):
+    """Many rows that are nearer by bits than the one true copy: it is found in a further round."""
+    monkeypatch.setattr(nearcopies, "CLOSEST", 1)
+    monkeypatch.setattr(nearcopies, "FURTHER", (3, None))
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(40):
+        text = list(words)
+        for at in rng.sample(range(0, 120, 6), 4):  # about 20 of 116 shingles differ: some pairs overlap by 0.8, some by less
+            text[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs, similarity=0.7).collect()}
+    sets = {k: set(nearcopies.shingles(t).tolist()) for k, t in rows}
+    label = dict.fromkeys(sets)
+    for k in sets:
+        label[k] = k
+    for _ in range(40):
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == label

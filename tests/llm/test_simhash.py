@@ -36,7 +36,7 @@ def test_anchors_cover():
     for k in range(len(y)):
         for bit in rng.choice(64, rng.integers(1, 3), replace=False):
             y[k] ^= np.uint64(1) << np.uint64(bit)
-    (i, a, home), (j, b, _) = simhash.anchors(x, 2), simhash.anchors(y, 2)
+    (i, a, home, _), (j, b, _, _) = simhash.anchors(x, 2), simhash.anchors(y, 2)
     assert np.bincount(i, weights=home).tolist() == [1] * len(x)
     replicas = set(zip(j.tolist(), b.tolist()))
     assert all((k, anchor) in replicas for k, anchor in zip(i[home].tolist(), a[home].tolist()))
@@ -58,31 +58,35 @@ def test_links_in_dense_and_crowded_groups(spark, monkeypatch, most):
     assert parts([found.get(v, v) for v in signed]) == parts(groups_of(values, 2))
 
 
-def test_crowded_anchors_that_follow_each_other_over_batches(spark, monkeypatch):
-    """Anchor A's last rows come in one batch with the first of B, both crowded; none of A's links may be lost."""
-    monkeypatch.setattr(simhash, "MOST", 3)
-    values = np.array([a << 40 | 1 << k for a in (1, 2) for k in range(6)], np.int64)
-    anchor = np.array([a for a in (1, 2) for _ in range(6)], np.int32)
-    batches = [pa.RecordBatch.from_arrays([pa.array(anchor[k : k + 5]), pa.array(values[k : k + 5]), pa.array([True] * len(values[k : k + 5]))], ["anchor", "x", "home"]) for k in (0, 5, 10)]
-
-    class Caught(Exception):
-        pass
+def test_divided_anchors_cover():
+    """Two fingerprints within 2 bits meet at the divided home of either."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
+    y = x.copy()
+    for k in range(len(y)):
+        for bit in rng.choice(64, rng.integers(1, 3), replace=False):
+            y[k] ^= np.uint64(1) << np.uint64(bit)
 
-    class Frame:
-        """Stands for the replicas; hands the comparison the batches."""
+    def divided(z):
+        index, anchor, home, left = simhash.anchors(z, 2)
+        i, sub, at_home, _ = simhash.anchors(z[index], 2, simhash.SECOND, left)
+        return index[i], anchor[i] << 14 | sub, home[i] & at_home
 
-        def __getattr__(self, name):
-            return lambda *args: self
+    (i, a, home), (j, b, _) = divided(x), divided(y)
+    assert np.bincount(i, weights=home).tolist() == [1] * len(x)
+    replicas = set(zip(j.tolist(), b.tolist()))
+    assert all((k, anchor) in replicas for k, anchor in zip(i[home].tolist(), a[home].tolist()))
 
-        def mapInArrow(self, f, schema):
-            if schema == "a long, b long":
-                raise Caught([r for b in f(iter(batches)) for r in b.to_pylist()])
-            return self
 
-    with pytest.raises(Caught) as caught:
-        simhash.links(Frame())
-    points = {r["a"] for r in caught.value.args[0] if r["b"] is None}
-    assert points == set(values.tolist())
+def test_crowded_anchors_that_follow_each_other_over_batches():
+    """Anchor A's last rows come in one batch with the first of B, both crowded; all of A's rows must go to its divisions."""
+    values = np.array([a << 40 | 1 << k for a in (1, 2) for k in range(6)], np.int64)
+    anchor = np.array([a for a in (1, 2) for _ in range(6)], np.int64)
+    n = lambda k: len(values[k : k + 5])
+    batches = [pa.RecordBatch.from_arrays([pa.array(anchor[k : k + 5]), pa.array(values[k : k + 5]), pa.array([True] * n(k)), pa.array([2] * n(k), pa.int32())], ["key", "x", "home", "slack"]) for k in (0, 5, 10)]
+    got = [r for b in simhash._compare(2, 3, iter(batches)) for r in b.to_pylist()]
+    assert {r["a"] for r in got if r["b"] is None} == set(values.tolist())
+    assert {(r["a"], r["key"]) for r in got if r["b"] is None} == set(zip(values.tolist(), anchor.tolist()))
 
 
 def test_components_of_chains_stars_and_loops(spark):
@@ -123,5 +127,18 @@ def test_cases(spark):
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 8]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        simhash.near_duplicates(df, bits=1)
+
+
+def test_rows_of_one_doc_id_and_long_texts(spark):
+    """Unlike texts under one doc_id stay, equal ones are one."""
+    long = " ".join(f"w{k % 7000}" for k in range(150_000))
+    df = spark.createDataFrame([(1, "a b c d e f", 1), (1, "p q r s t u", 2), (1, "p q r s t u", 3), (2, "a b c d e f", 4), (3, long, 5), (4, long, 6)], "doc_id long, text string, _d int")
+    kept = simhash.drop_near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.text[:3]) for r in kept) == [(1, "a b"), (1, "p q"), (3, "w0 ")]
+
+
+def test_all_divided_at_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "REPLICATION", 1 << 40)
+    values = [0, 1, 3, 7, 1 << 40, (1 << 40) | (1 << 50), 255 << 20]
+    found = {r.node: r.component for r in components(simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long"))).collect()}
+    assert parts([found.get(v, v) for v in values]) == parts(groups_of(values, 2))
