@@ -1,14 +1,17 @@
-"""Command line: python -m hopgauge.jobs.cli qc|pathmean ... on Parquet tables."""
+"""Command line: python -m hopgauge.jobs.cli qc|pathmean|extract ... on Parquet tables."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from hopgauge.jobs import satellite
 from hopgauge.operators import geo, quality
-from hopgauge.sources import sinks
+from hopgauge.sources import scenes, sinks
 
 
 def main(args: list[str] | None = None) -> None:
@@ -23,7 +26,10 @@ def main(args: list[str] | None = None) -> None:
     mean = sub.add_parser("pathmean", help="path means of satellite scenes")
     for name in ("--pixels", "--weights", "--start", "--end"):
         mean.add_argument(name, required=True)
-    for s in (qc, mean):
+    ext = sub.add_parser("extract", help="path means of scenes from link geometry and a grid; weights are built once and kept")
+    for name in ("--scenes", "--geometry", "--grid", "--channels", "--weights-folder", "--start", "--end"):
+        ext.add_argument(name, required=True, help={"--grid": "JSON: x, y, height, lon_0, a, b, sweep", "--channels": "names, with commas between", "--scenes": "table: path, scene_time, channels, error"}.get(name))
+    for s in (qc, mean, ext):
         s.add_argument("--out", required=True)
         s.add_argument("--overwrite", action="store_true")
     a = p.parse_args(args)
@@ -33,9 +39,22 @@ def main(args: list[str] | None = None) -> None:
         samples = spark.read.parquet(a.samples)
         if a.first_links:
             samples = quality.first_links(samples, links, a.first_links)
-        found = quality.run(samples, links.select("cml_id", "length_km"), spark.read.parquet(a.sublinks), quality.Config(a.proc_line, a.strict))
+        config, began = quality.Config(a.proc_line, a.strict), time.time()
+        found = quality.run(samples, links.select("cml_id", "length_km"), spark.read.parquet(a.sublinks), config)
+        planned = time.time() - began
         for name, df in found._asdict().items():
             sinks.save(df, f"{a.out}/{name}", a.overwrite)
+        # Spark computes while it saves, so both are told: planning alone, and all
+        sinks.save_info(spark, quality.run_info(config, planned) | {"qc_elapsed_seconds": time.time() - began}, f"{a.out}/info", a.overwrite)
+    elif a.job == "extract":
+        grid = json.loads(a.grid)
+        grid = satellite.Grid(**(grid | {"x": tuple(grid["x"]), "y": tuple(grid["y"])}))
+        found = scenes.require_some(spark.read.parquet(a.scenes).where(F.col("scene_time").between(a.start, a.end)), a.scenes, a.start, a.end)
+        w = satellite.stored_weights(spark.read.parquet(a.geometry), grid, a.weights_folder)
+        done = satellite.extract(found, w.weights, w.coverage, a.channels.split(","))
+        sinks.save_means(done.means, f"{a.out}/means", a.overwrite)
+        sinks.save(w.coverage, f"{a.out}/links", a.overwrite)
+        sinks.save_info(spark, scenes.outcome_counts(done.outcomes).first().asDict(), f"{a.out}/info", a.overwrite)
     else:
         pixels = spark.read.parquet(a.pixels).where(F.col("scene_time").between(a.start, a.end))
         sinks.save_means(geo.path_means(pixels, spark.read.parquet(a.weights)), a.out, a.overwrite)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hopgauge.functions.columns import SERIES, gigahertz, gigahertz_of_table
 from hopgauge.jobs import fixtures as fx
+from hopgauge.jobs import satellite
 from hopgauge.operators import gaps, geo, quality, rolling
 from hopgauge.sources import scenes
 
@@ -71,7 +72,7 @@ def _near(name: str, source: str, x: str, more: str = "*") -> str:
   first_value({have("idx")}) {ahead} AS ai, first_value({have("epoch(time)")}) {ahead} AS nt, first_value({have(x)}) {ahead} AS av FROM {source})"""
 
 
-_GAP = f"CASE WHEN rsl IS NULL THEN CAST(coalesce(ai, {fx.SLOTS}) - coalesce(bi, -1) - 1 AS INT) ELSE 0 END"
+_GAP = f"CASE WHEN rsl IS NULL THEN CAST(coalesce(ai, count(*) OVER ({_P})) - coalesce(bi, -1) - 1 AS INT) ELSE 0 END"
 _FLAG = f"rsl IS NULL AND {_GAP} <= 60 AND (coalesce(bv < -65, false) OR coalesce(av < -65, false))"
 
 
@@ -109,15 +110,16 @@ counts AS (SELECT cml_id, sublink_id, count(*) FILTER (l) AS long_high, count(l)
   count(*) - count(trsl) AS missing, count(*) AS samples FROM windows GROUP BY ALL)"""
 
 
-def _judgement(proc_line: str, strict: bool = False) -> str:
+def _judgement(proc_line: str, strict: bool = False, seconds: int = 300, k: str = "") -> str:
     unit = "CASE WHEN (SELECT max(frequency) FROM sublinks) > 1000 THEN frequency / 1e9 ELSE frequency END" if strict else "CASE WHEN frequency > 1000 THEN frequency / 1e9 ELSE frequency END"
     both = "coalesce(long_high / nullif(long_valid, 0) <= 0.1, false) AND coalesce(short_high / nullif(short_valid, 0) <= 0.33, false)"
     sane = {"no_filter": "true", "graf_2020": both, "full": f"{both} AND coalesce(detection_limit < 2, false) AND missing / samples < 0.5"}[proc_line]
-    return f"""{_chain(proc_line, strict)},
+    k = k.format(f=unit) or f"4.21e-5 * pow({unit}, 2.42)"
+    return f"""{_chain(proc_line, strict, seconds)},
 {_counts(strict)},
 {fx.STATICS},
 {fx.LINKS},
-known AS (SELECT c.*, CAST(0.33 / nullif(4.21e-5 * pow({unit}, 2.42) * length_km, 0) AS FLOAT) AS detection_limit FROM counts c LEFT JOIN sublinks USING (cml_id, sublink_id) LEFT JOIN links USING (cml_id)),
+known AS (SELECT c.*, CAST(0.33 / nullif(({k}) * length_km, 0) AS FLOAT) AS detection_limit FROM counts c LEFT JOIN sublinks USING (cml_id, sublink_id) LEFT JOIN links USING (cml_id)),
 judged AS (SELECT cml_id, sublink_id, round(detection_limit::DOUBLE, 3) AS detection_limit, coalesce(detection_limit < 2, false) AS "isSane_detection_limit",
   coalesce(long_high / nullif(long_valid, 0) <= 0.1, false) AS "isSane_std_long", coalesce(short_high / nullif(short_valid, 0) <= 0.33, false) AS "isSane_std_short",
   missing / samples < 0.5 AS "isSane_available", {sane} AS "isSane_sublink" FROM known)"""
@@ -126,11 +128,11 @@ judged AS (SELECT cml_id, sublink_id, round(detection_limit::DOUBLE, 3) AS detec
 _JUDGED = ("cml_id", "sublink_id", "detection_limit", "isSane_detection_limit", "isSane_std_long", "isSane_std_short", "isSane_available", "isSane_sublink")
 
 
-def _qc(proc_line: str, strict: bool = False):
+def _qc(proc_line: str, strict: bool = False, seconds: int = 300):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return _double(_judged(spark, d, proc_line=proc_line, strict=strict).select(*_JUDGED), "detection_limit")
+        return _double(_judged(spark, d, proc_line=proc_line, strict=strict, interpolate_seconds=seconds).select(*_JUDGED), "detection_limit")
 
-    return query, f"{_judgement(proc_line, strict)}\nSELECT * FROM judged"
+    return query, f"{_judgement(proc_line, strict, seconds)}\nSELECT * FROM judged"
 
 
 # --- queries ---------------------------------------------------------------------------------------------------------
@@ -159,9 +161,8 @@ def prj_trsl(spark: SparkSession, d: str) -> DataFrame:
 
 
 def win_rolling_std(spark: SparkSession, d: str) -> DataFrame:
-    df = rolling.with_rolling_variance(fx.samples(spark, d), "rsl", {"w60": 60, "w300": 300})
-    over = lambda n, x: F.count_if(F.sqrt(n) > x).alias(f"{n}_over_{str(x).replace('.', '')}")
-    return df.groupBy(*SERIES).agg(*[over(n, x) for n in ("w60", "w300") for x in (0.3, 1.0, 2.5)], F.count("w60").alias("w60_valid"), F.count("w300").alias("w300_valid"))
+    df = rolling.with_rolling_variance(_samples(spark, d), "rsl", {"w60": 60, "w300": 300})
+    return df.select(*SERIES, "idx", *[F.round(F.sqrt(F.col(n).cast("double")), 3).alias(n) for n in ("w60", "w300")])
 
 
 def win_rolling_max(spark: SparkSession, d: str) -> DataFrame:
@@ -260,16 +261,33 @@ def geo_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_path_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _double(geo.path_means(fx.rasters(spark, d), _weights(spark, d)), "path_mean")
+    return _double(geo.gather_means(fx.rasters(spark, d), _weights(spark, d), fx.endpoints(spark, d)), "path_mean").where("path_mean IS NOT NULL")
 
 
 def agg_path_mean_dense(spark: SparkSession, d: str) -> DataFrame:
-    pixels = fx.rasters(spark, d)
-    names = fx.table(spark, d, "embeddings")
-    channels, scene = names.select(F.col("label").alias("channel")).distinct(), names.select(F.col("vec_id").alias("scene_time")).distinct()
-    dense = geo.dense_means(geo.path_means(pixels, _weights(spark, d)), scene, fx.endpoints(spark, d), channels)
-    # the product itself is large, so the report counts it by channel and link
-    return dense.groupBy("channel", "cml_id").agg(F.count(F.lit(1)).alias("n_scenes"), F.count("path_mean").alias("n_means"))
+    """Links off the grid, too, with NULL."""
+    return _double(geo.gather_means(fx.rasters(spark, d), _weights(spark, d), fx.endpoints(spark, d)), "path_mean")
+
+
+def agg_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The extraction job for three channels, one of which no scene has; bad scenes have no means."""
+    return _double(satellite.extract(fx.scenes(spark, d), _weights(spark, d), fx.endpoints(spark, d), ["0", "1", "none"]).means, "path_mean")
+
+
+def geo_build_weights(spark: SparkSession, d: str) -> DataFrame:
+    return satellite.build_weights(fx.geometry(spark, d), satellite.Grid(**fx.GRID)).weights.select("cml_id", "pix", F.round(F.col("wt").cast("double"), 4).alias("wt"))
+
+
+#: Values by polarization that the query below uses instead of the power law.
+KNOWN = {(20.0, "H"): 0.09, (30.0, "H"): 0.2, (40.0, "H"): 0.35, (20.0, "V"): 0.08, (40.0, "V"): 0.3}
+
+
+def qc_polarized(spark: SparkSession, d: str) -> DataFrame:
+    got = quality.run(fx.samples(spark, d), fx.links(spark, d), fx.sublinks(spark, d), quality.Config(), quality.coefficients(KNOWN))
+    return _double(got.sublinks.select(*_JUDGED), "detection_limit")
+
+
+_K = "(SELECT arg_min(k, struct_pack(d := abs(f - ({f})), k := k)) FROM (VALUES " + ", ".join(f"({f}::DOUBLE, '{p}', {k}::DOUBLE)" for (f, p), k in sorted(KNOWN.items())) + ") AS t(f, p, k) WHERE p = polarization)"
 
 
 # --- SQL of the queries ----------------------------------------------------------------------------------------------
@@ -299,9 +317,45 @@ marks AS (
 ), weights AS (
   SELECT cml_id, r * 8 + c AS pix, CAST(sum(w) / any_value(total) AS FLOAT) AS wt FROM placed JOIN (SELECT cml_id, sum(w) AS total FROM placed GROUP BY 1) USING (cml_id) GROUP BY 1, 2
 )"""
-_MEANS = f"""WITH {_PIECES}, {fx.RASTERS}, means AS (
-  SELECT scene_time, channel, cml_id, CAST(sum(value::DOUBLE * wt) / sum(wt::DOUBLE) AS FLOAT) AS path_mean FROM rasters JOIN weights USING (pix) WHERE value IS NOT NULL GROUP BY ALL
+_MEANS = f"""WITH {_PIECES}, {fx.RASTERS}, sums AS (
+  SELECT scene_time, channel, cml_id, list_reduce(list(value::DOUBLE * wt::DOUBLE ORDER BY pix), lambda a, x: a + x) AS a, list_reduce(list(wt::DOUBLE ORDER BY pix), lambda a, x: a + x) AS b
+  FROM rasters JOIN weights USING (pix) WHERE value IS NOT NULL GROUP BY ALL
+), means AS (
+  SELECT scene_time, channel, cml_id, CAST(a / b AS FLOAT) AS path_mean FROM sums
 )"""
+_CENTRES = ", ".join(map(repr, fx.GRID["x"])), ", ".join(map(repr, fx.GRID["y"]))
+_BUILT = f"""WITH axes AS (
+  SELECT 'x' AS axis, unnest(range(100)) AS k, unnest([{_CENTRES[0]}]::DOUBLE[]) AS c UNION ALL SELECT 'y', unnest(range(80)), unnest([{_CENTRES[1]}]::DOUBLE[])
+), steps AS (
+  SELECT *, lag(c) OVER w AS a, lead(c) OVER w AS b FROM axes WINDOW w AS (PARTITION BY axis ORDER BY k)
+), edges AS (
+  SELECT axis, k, CASE WHEN a IS NULL THEN c - (b - c) / 2 ELSE (a + c) / 2 END AS e FROM steps UNION ALL SELECT axis, k + 1, c + (c - a) / 2 FROM steps WHERE b IS NULL
+), sites AS (
+  SELECT s_suppkey AS id, 0 AS site, s_suppkey * 37 % 301 * 0.1::DOUBLE - 15 AS lon, s_suppkey * 53 % 403 * 0.1::DOUBLE + 1 AS lat FROM supplier
+  UNION ALL SELECT s_suppkey, 1, s_suppkey * 71 % 307 * 0.1::DOUBLE - 15, s_suppkey * 89 % 401 * 0.1::DOUBLE + 1 FROM supplier
+), k AS (
+  SELECT *, radians(lon) AS turn, radians(lat) AS rad, 6356583.8::DOUBLE / 6378169.0::DOUBLE AS p, 1 + 35785831.0::DOUBLE / 6378169.0::DOUBLE AS g FROM sites
+), v AS (
+  SELECT *, p / sqrt(pow(p * cos(atan(p * p * tan(rad))), 2) + pow(sin(atan(p * p * tan(rad))), 2)) AS r, atan(p * p * tan(rad)) AS phi FROM k
+), s AS (
+  SELECT *, r * cos(turn) * cos(phi) AS vx, r * sin(turn) * cos(phi) AS vy, r * sin(phi) AS vz FROM v
+), ends AS (
+  SELECT id, site, CASE WHEN seen THEN atan(vy / (g - vx)) END AS x, CASE WHEN seen THEN atan(vz / sqrt(vy * vy + (g - vx) * (g - vx))) END AS y FROM (SELECT *, (g - vx) * vx - vy * vy - vz * vz / (p * p) >= 0 AS seen FROM s)
+), links AS (
+  SELECT a.id, a.x AS x0, a.y AS y0, b.x - a.x AS dx, b.y - a.y AS dy FROM ends a JOIN ends b ON a.id = b.id AND a.site = 0 AND b.site = 1 WHERE a.x IS NOT NULL AND b.x IS NOT NULL
+), marks AS (
+  SELECT id, 0.0::DOUBLE AS t FROM links UNION SELECT id, 1.0 FROM links
+  UNION SELECT id, (e - x0) / dx FROM links JOIN edges ON axis = 'x' AND dx <> 0 AND (e - x0) / dx BETWEEN 0 AND 1
+  UNION SELECT id, (e - y0) / dy FROM links JOIN edges ON axis = 'y' AND dy <> 0 AND (e - y0) / dy BETWEEN 0 AND 1
+), spans AS (
+  SELECT id, t AS a, lead(t) OVER (PARTITION BY id ORDER BY t) AS b FROM marks
+), placed AS (
+  SELECT l.id, (SELECT count(*) - 1 FROM edges WHERE axis = 'y' AND e <= y0 + (a + b) / 2 * dy) AS row, (SELECT count(*) - 1 FROM edges WHERE axis = 'x' AND e <= x0 + (a + b) / 2 * dx) AS col, b - a AS w
+  FROM spans JOIN links l USING (id) WHERE b > a
+), inside AS (
+  SELECT * FROM placed WHERE row BETWEEN 0 AND 79 AND col BETWEEN 0 AND 99
+)
+SELECT CAST(id AS BIGINT) AS cml_id, CAST(row * 100 + col AS BIGINT) AS pix, round(sum(w) / any_value(total), 4) AS wt FROM inside JOIN (SELECT id, sum(w) AS total FROM inside GROUP BY 1) USING (id) GROUP BY 1, 2"""
 _GEOS = """WITH k AS (
   SELECT CAST(s_suppkey AS BIGINT) AS cml_id, radians(s_suppkey * 37 % 240 - 120) AS turn, radians(s_suppkey * 53 % 150 - 75) AS lat, 6356583.8::DOUBLE / 6378169.0::DOUBLE AS p, 1 + 35785831.0::DOUBLE / 6378169.0::DOUBLE AS g FROM supplier
 ), v AS (
@@ -314,11 +368,11 @@ FROM (SELECT *, (g - vx) * vx - vy * vy - vz * vz / (p * p) >= 0 AS seen FROM s)
 """
 _STRICT_PLATEAU, _FAST_PLATEAU = _plateau(True), _plateau(False)
 _LONG, _SHORT = _temporal("long"), _temporal("short")
-_FULL, _GRAF, _NONE, _STRICT = _qc("full"), _qc("graf_2020"), _qc("no_filter"), _qc("full", True)
+_FULL, _GRAF, _NONE, _STRICT = _qc("full"), _qc("graf_2020"), _qc("no_filter"), _qc("full", True, 10_800)
 
 
 def _rounded(*names: str) -> str:
-    return ", ".join(f"round({n}::DOUBLE, 3) AS {n}" for n in names)
+    return ", ".join(f"round({n}::DOUBLE, 3) + 0.0::DOUBLE AS {n}" for n in names)  # no negative zero
 
 
 _BOTH = {
@@ -328,8 +382,7 @@ WHERE scene_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-
 SELECT count(*) AS n_scenes, count(*) - count(error) AS n_written, count(error) AS n_failed, (SELECT string_agg(path || ': ' || error, '; ' ORDER BY path) FROM (SELECT * FROM s WHERE error IS NOT NULL ORDER BY path LIMIT 10)) AS first_errors FROM s"""),
     "prj_unit_rule": (prj_unit_rule, f"WITH {fx.STATICS} SELECT pos, round(CASE WHEN frequency > 1000 THEN frequency / 1e9 ELSE frequency END, 6) AS by_value, round(CASE WHEN (SELECT max(frequency) FROM statics) > 1000 THEN frequency / 1e9 ELSE frequency END, 9) AS by_table FROM statics"),
     "prj_trsl": (prj_trsl, f"WITH {fx.SAMPLES} SELECT {KEY}, round((tsl - rsl)::DOUBLE, 3) AS trsl FROM samples"),
-    "win_rolling_std": (win_rolling_std, f"""WITH {fx.SAMPLES}, s AS (SELECT *, stddev_pop(rsl::DOUBLE) {_frame(60)} AS a, stddev_pop(rsl::DOUBLE) {_frame(300)} AS b FROM samples)
-SELECT cml_id, sublink_id, {", ".join(f"count(*) FILTER ({c} > {x}) AS {n}_over_{str(x).replace('.', '')}" for c, n in (("a", "w60"), ("b", "w300")) for x in (0.3, 1.0, 2.5))}, count(a) AS w60_valid, count(b) AS w300_valid FROM s GROUP BY ALL"""),
+    "win_rolling_std": (win_rolling_std, f"WITH {fx.SAMPLES} SELECT {KEY}, {', '.join(f'round(sqrt(CAST(var_pop(rsl::DOUBLE) {_frame(n)} AS FLOAT)::DOUBLE), 3) AS w{n}' for n in (60, 300))} FROM samples"),
     "win_rolling_max": (win_rolling_max, f"WITH {fx.SAMPLES} SELECT {KEY}, {', '.join(f'round((max(rsl) {_frame(n)})::DOUBLE, 3) AS m{n}' for n in (3, 5, 60))} FROM samples"),
     "win_plateau": _FAST_PLATEAU,
     "strict_plateau": _STRICT_PLATEAU,
@@ -358,8 +411,12 @@ UNION ALL SELECT p_size, CAST(n AS INT), round(c + (c - a) / 2, 4) FROM n WHERE
     "geo_link_coverage": (geo_link_coverage, f"WITH {_PIECES} SELECT e.cml_id, CAST(count(w) AS INT) AS n_pixels, CAST(count(w) > 0 AS INT) AS intersects FROM endpoints e LEFT JOIN placed p ON p.cml_id = e.cml_id AND w > 1e-9 GROUP BY 1"),
     "geo_projection": (geo_projection, _GEOS),
     "agg_path_mean": (agg_path_mean, f"{_MEANS} SELECT scene_time, channel, cml_id, {_rounded('path_mean')} FROM means"),
-    "agg_path_mean_dense": (agg_path_mean_dense, f"""{_MEANS} SELECT c.channel, e.cml_id, count(*) AS n_scenes, count(path_mean) AS n_means
-FROM (SELECT DISTINCT label AS channel FROM embeddings) c, endpoints e, (SELECT DISTINCT vec_id AS scene_time FROM embeddings) s LEFT JOIN means m ON m.scene_time = s.scene_time AND m.channel = c.channel AND m.cml_id = e.cml_id GROUP BY ALL"""),
+    "agg_path_mean_dense": (agg_path_mean_dense, f"""{_MEANS} SELECT c.scene_time, c.channel, e.cml_id, {_rounded('path_mean')}
+FROM (SELECT vec_id AS scene_time, label AS channel FROM embeddings) c, endpoints e LEFT JOIN means m ON m.scene_time = c.scene_time AND m.channel = c.channel AND m.cml_id = e.cml_id"""),
+    "agg_extract": (agg_extract, f"""{_MEANS} SELECT c.scene_time, c.channel, e.cml_id, {_rounded('path_mean')}
+FROM (SELECT vec_id AS scene_time, unnest(['0', '1', 'none']) AS channel FROM embeddings) c, endpoints e LEFT JOIN means m ON m.scene_time = c.scene_time AND CAST(m.channel AS VARCHAR) = c.channel AND m.cml_id = e.cml_id AND m.scene_time % 50 <> 7"""),
+    "geo_build_weights": (geo_build_weights, _BUILT),
+    "qc_polarized": (qc_polarized, f"{_judgement('full', k=_K)}\nSELECT * FROM judged"),
 }
 
 QUERIES = {name: query for name, (query, _) in _BOTH.items()}

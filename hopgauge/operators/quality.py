@@ -101,14 +101,14 @@ def few_high(name: str, share: float) -> Column:
     return holds(F.try_divide(F.col(f"{name}_high"), F.col(f"{name}_valid")) <= share)
 
 
-def attenuation(frequency_ghz: Column) -> Column:
-    """Specific attenuation by a power of the frequency."""
+def attenuation(frequency_ghz: Column, polarization: Column | None = None) -> Column:
+    """Specific attenuation by a power of the frequency, alike for all polarizations."""
     return F.lit(4.21e-5) * F.pow(frequency_ghz.cast("double"), F.lit(2.42))
 
 
-def detection_limit(length_km: Column, frequency_ghz: Column, quantization_db: float = 0.33, coefficient=attenuation) -> Column:
-    """Least detectable rain rate in mm/h (float); NULL without a positive, finite sensitivity."""
-    s = coefficient(frequency_ghz) * length_km.cast("double")
+def detection_limit(length_km: Column, frequency_ghz: Column, quantization_db: float = 0.33, coefficient=attenuation, polarized: Column | None = None) -> Column:
+    """Least detectable rain rate in mm/h (float); NULL without a positive, finite sensitivity. coefficient: of frequency and polarization."""
+    s = coefficient(frequency_ghz, F.lit(None).cast("string") if polarized is None else polarized) * length_km.cast("double")
     return F.when((s > 0) & (s < float("inf")), F.lit(quantization_db) / s).cast("float")
 
 
@@ -136,14 +136,14 @@ def process_samples(samples: DataFrame, c: Config = Config()) -> DataFrame:
     return df
 
 
-def judge_sublinks(processed: DataFrame, links: DataFrame, sublinks: DataFrame, c: Config = Config()) -> DataFrame:
+def judge_sublinks(processed: DataFrame, links: DataFrame, sublinks: DataFrame, c: Config = Config(), coefficient=attenuation) -> DataFrame:
     """One row a series with the detection limit, all flags and isSane_sublink. links: cml_id, length_km; sublinks: SERIES, frequency, polarization."""
     counts = rolling_counts(processed, "trsl", {"long": (c.long_window, c.long_std), "short": (c.short_window, c.short_std)}, c.strict)
     statics = gigahertz_of_table(sublinks) if c.strict else sublinks.withColumn("frequency", gigahertz(F.col("frequency")))
     if "polarization" in statics.columns:
         statics = statics.withColumn("polarization", polarization(F.col("polarization")))
     df = counts.join(statics, list(SERIES), "left").join(links, "cml_id", "left")
-    df = df.withColumn("detection_limit", detection_limit(F.col("length_km"), F.col("frequency"), c.quantization_db)).withColumns({
+    df = df.withColumn("detection_limit", detection_limit(F.col("length_km"), F.col("frequency"), c.quantization_db, coefficient, F.col("polarization") if "polarization" in df.columns else None)).withColumns({
         "isSane_detection_limit": holds(F.col("detection_limit") < c.detectable_below),
         "isSane_std_long": few_high("long", c.long_share),
         "isSane_std_short": few_high("short", c.short_share),
@@ -162,13 +162,31 @@ def with_meanings(df: DataFrame, proc_line: str) -> DataFrame:
     return df.withColumn("proc_line", F.lit(proc_line))
 
 
-def run(samples: DataFrame, links: DataFrame, sublinks: DataFrame, config: Config = Config()) -> Result:
-    """The link quality job: samples, sublinks and links with their flags."""
+def run(samples: DataFrame, links: DataFrame, sublinks: DataFrame, config: Config = Config(), coefficient=attenuation) -> Result:
+    """The link quality job: samples, sublinks and links with their flags. coefficient: specific attenuation of frequency (GHz) and polarization, as columns."""
     processed = process_samples(samples, config)
-    judged = judge_sublinks(processed, links, sublinks, config)
+    judged = judge_sublinks(processed, links, sublinks, config, coefficient)
     return Result(*(with_meanings(df, config.proc_line) for df in (processed, judged, judge_links(judged))))
 
 
+def coefficients(rows: dict[tuple[float, str], float]):
+    """A coefficient function from known values by frequency (GHz) and polarization: that of the nearest frequency with the polarization, else ``attenuation``."""
+
+    def of(frequency_ghz: Column, polarized: Column) -> Column:
+        known = F.array(*[F.struct(F.lit(float(f)).alias("f"), F.lit(p).alias("p"), F.lit(float(k)).alias("k")) for (f, p), k in sorted(rows.items())])
+        alike = F.filter(known, lambda x: x["p"] == polarized)
+        nearest = F.array_min(F.transform(alike, lambda x: F.struct(F.abs(x["f"] - frequency_ghz).alias("d"), x["k"].alias("k"))))
+        return F.coalesce(nearest["k"], attenuation(frequency_ghz))
+
+    return of
+
+
+def run_info(config: Config, seconds: float) -> dict[str, str | float]:
+    """What is stored beside the results of a run."""
+    steps = "plateaus, blackout fills, interpolation of the total loss, detection limit, deviations in long and short windows, availability"
+    return {"qc_processing_line": config.proc_line, "qc_elapsed_seconds_excluding_save": seconds, "qc_notes": f"Flags follow {steps}."} | {f"qc_{k}": v for k, v in vars(config).items() if k != "proc_line"}
+
+
 def first_links(df: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """df of the first n links by their stored position (links: cml_id, pos)."""
     return df.join(links.orderBy("pos").limit(n).select("cml_id"), "cml_id", "left_semi")

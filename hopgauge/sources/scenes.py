@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +34,50 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "SEVIRI_*.nc").load(folder).select("path")
 
 
+def require_some(found: DataFrame, folder: str, start: str, end: str) -> DataFrame:
+    if found.isEmpty():
+        raise FileNotFoundError(f"no scene in {folder} between {start} and {end}")
+    return found
+
+
+def read(spark: SparkSession, folder: str, start: str, end: str, decode: Callable[[bytes], tuple[object, dict[str, object]]]) -> DataFrame:
+    """path, scene_time, channels, error of the scenes of a folder within both ends; none is an error. A file is decoded in one task.
+
+    decode gives a file's own time (epoch microseconds or None; it counts where the name has none) and its channels (arrays of rows and
+    columns, perhaps masked, perhaps with a first axis of length 1). What goes wrong with a file becomes its error.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "SEVIRI_*").load(folder)
+    named = files.withColumn("named", scene_time(F.col("path")))
+    ends = [F.lit(t).cast("timestamp") for t in (start, end)]
+    wanted = named.where(F.col("named").isNull() | F.col("named").between(*ends)).select("path", F.unix_micros("named").alias("named"), "content")
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, named, content in zip(batch["path"], batch["named"], batch["content"], strict=True):
+                time, channels, error = (None if pd.isna(named) else int(named)), None, None
+                try:
+                    own, arrays = decode(bytes(content))
+                    time = own if time is None else time
+                    channels = {c: flat_raster(a) for c, a in arrays.items()}
+                except Exception as e:  # noqa: BLE001 - one bad file must not stop the job; its error is kept
+                    error = f"{type(e).__name__}: {e}"
+                rows.append((path, time, channels, error))
+            yield pd.DataFrame(rows, columns=["path", "time", "channels", "error"])
+
+    schema = "path string, time long, channels map<string,array<float>>, error string"
+    found = wanted.mapInPandas(opened, schema).select("path", F.timestamp_micros("time").alias("scene_time"), "channels", "error")
+    return require_some(found.where(F.col("scene_time").between(*ends)), folder, start, end)
+
+
+def flat_raster(values: object) -> list[float]:
+    """A raster's values by pixel number (row * nx + col); masked ones are NaN, a first axis of length 1 is none."""
+    filled = np.ma.filled(np.ma.asarray(values, dtype="float32"), np.nan)
+    if filled.ndim == 3 and filled.shape[0] == 1:
+        filled = filled[0]
+    return filled.reshape(-1).tolist()
+
+
 def pixels(rasters: DataFrame) -> DataFrame:
     """scene_time, channel, pix, value from rasters (scene_time, channel, values): the pixel's number is row * nx + col."""
     return rasters.select("scene_time", "channel", F.posexplode("values").alias("pix", "value")).withColumn("pix", F.col("pix").cast("long"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,8 +25,20 @@ def save(df: DataFrame, path: str, overwrite: bool = False, by: tuple[str, ...]
 
 
 def save_means(means: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Path means by scene date."""
-    save(means.withColumn("scene_date", F.to_date("scene_time")), path, overwrite, ("scene_date",))
+    """Path means (K) by scene date, with the scene's time in nanoseconds since 1970 beside the timestamp (microseconds)."""
+    means = means.withColumns({"scene_date": F.to_date("scene_time"), "epoch_ns": F.unix_micros(F.col("scene_time").cast("timestamp")) * 1000})
+    save(means.withMetadata("path_mean", {"units": "K"}), path, overwrite, ("scene_date",))
+
+
+def save_info(spark: SparkSession, info: dict, path: str, overwrite: bool = False) -> None:
+    """One JSON row beside a result."""
+    spark.createDataFrame([(json.dumps(info, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def weights_key(links: DataFrame, edges: tuple[list[float], list[float]]) -> str:

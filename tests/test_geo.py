@@ -68,8 +68,20 @@ def test_path_mean_leaves_out_missing_pixels(spark):
     weights = spark.createDataFrame([(7, 0, 2 / 3), (7, 1, 1 / 3)], "cml_id long, pix long, wt float")
     means = geo.path_means(pixels, weights)
     assert [(r.scene_time, r.path_mean) for r in means.collect()] == [(1, 10.0)]
-    every = geo.dense_means(means, pixels.select("scene_time").distinct(), weights.select("cml_id").distinct(), pixels.select("channel").distinct())
-    assert {(r.scene_time, r.path_mean) for r in every.collect()} == {(1, 10.0), (2, None)}
+    rasters = spark.createDataFrame([(1, 1, [None, 10.0]), (2, 1, [float("nan"), None]), (3, 1, None)], "scene_time int, channel int, values array<float>")
+    links = weights.select("cml_id").distinct().union(spark.createDataFrame([(8,)], "cml_id long"))
+    every = geo.gather_means(rasters, weights, links)
+    assert {(r.scene_time, r.cml_id, r.path_mean) for r in every.collect()} == {(s, c, 10.0 if (s, c) == (1, 7) else None) for s in (1, 2, 3) for c in (7, 8)}
+
+
+def test_gathered_means_do_not_turn_pixels_into_rows_or_keys(spark):
+    rasters = spark.createDataFrame([(k, 1, [float(k)] * 4) for k in range(5)], "scene_time int, channel int, values array<float>")
+    weights = spark.createDataFrame([(c, p, 0.25) for c in range(1300) for p in range(4)], "cml_id long, pix long, wt float")
+    out = geo.gather_means(rasters, weights, weights.select("cml_id").distinct())  # three blocks of links
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "pix" not in plan.split("Join")[1].split("\n")[0]
+    got = out.collect()
+    assert len(got) == 5 * 1300 and all(r.path_mean == r.scene_time for r in got)
 
 
 def test_constant_raster_gives_its_value(spark):
