@@ -31,7 +31,7 @@ BLOCKS = 24
 #: Bits of 128 that candidates may differ in: at an overlap of 0.8, 19.3 on average with a deviation of 4.1.
 NEAR = 32
 #: Candidates before a row at one anchor that are verified in the first round, and up to which those of further rounds go (None: all).
-CLOSEST, FURTHER = 8, (64, 512, None)
+CLOSEST, FURTHER = 2, (16, 256, None)
 #: Words of 64 bits: the blocks' and two for the comparison at an anchor.
 WORDS = -(-BLOCKS * 23 // 64) + 2
 _ODD = np.random.default_rng(5).integers(0, 2**63, WORDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,9 +106,11 @@ def near_at(u: np.ndarray, v: np.ndarray, label: np.ndarray, low: int, high: int
         apart = np.bitwise_count(u[k:end, None] ^ u[None, :end]) + np.bitwise_count(v[k:end, None] ^ v[None, :end])
         near = (apart <= NEAR) & (np.arange(end)[None, :] < np.arange(k, end)[:, None])
         other = label[k:end, None] != label[None, :end]
-        for i in np.flatnonzero(near.sum(1) > (high or len(u)) if not low else (near & other).any(1)):
+        crowded = near.sum(1) > (high or len(u)) if not low else (near & other).any(1)
+        for i in np.flatnonzero(crowded):
             j = np.flatnonzero(near[i])
-            j = j[np.argsort(apart[i, j], kind="stable")]
+            key = apart[i, j].astype(np.int64) << 32 | j  # no ties, so that rounds agree on ranks
+            j = j[np.argsort(key)] if low else j[np.argpartition(key, high)]
             if high is not None and other[i, j[high:]].any():
                 more.append(i + k)
             near[i] = False
