@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +42,24 @@ MOST_DOMAINS = 256
 #: Different words that a worker remembers.
 MEMORY = 1 << 18
 _CORE = re.compile(r"[^\W_]+(?:.*[^\W_]+)?")
+#: Bucket of words that are all core, by case.
+_BARE = {case: zlib.crc32(b"\0" + case.encode()) % BUCKETS for case in "Ul"}
 
 
 def features(word: bytes) -> tuple[int, int]:
     """Buckets of a word: its beginning in lower case, and what is around it."""
     text = word.decode("utf-8", "surrogatepass")
-    core = _CORE.search(text)
-    inner = core.group(0) if core else ""
+    if text[:1].isalnum() and text[-1:].isalnum():  # most words: nothing is around
+        inner = text
+    else:
+        core = _CORE.search(text)
+        inner = core.group(0) if core else ""
     case = "U" if len(inner) > 1 and inner.isupper() else "l"
+    begin = zlib.crc32(inner[:4].lower().encode("utf-8", "surrogatepass")) % BUCKETS
+    if len(inner) == len(text):
+        return begin, _BARE[case]
     around = text.replace(inner, case, 1) if inner else text[:4]
-    return zlib.crc32(inner[:4].lower().encode("utf-8", "surrogatepass")) % BUCKETS, zlib.crc32(b"\0" + around.encode("utf-8", "surrogatepass")) % BUCKETS
+    return begin, zlib.crc32(b"\0" + around.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 class _Buckets(dict):
@@ -81,32 +91,39 @@ class Classifier:
         return score / score.sum()
 
 
+class _Numbers(dict):
+    """Numbers of words from 1 in order of appearance; ``new`` holds those that are not in the rows yet."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        self.new.append(word)
+        return n
+
+
 class Remembering:
     """A classifier with a memory of words' log probabilities."""
 
     def __init__(self, model: Classifier) -> None:
         self.model = model
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.rows = np.zeros((1, len(model.domains)), np.float32)
 
     def posteriors(self, texts: list[list[bytes]]) -> np.ndarray:
         if len(self.numbers) > MEMORY:
-            self.numbers, self.rows = {}, self.rows[:1]
-        known, new = self.numbers, []
-        for words in texts:
-            for w in words:
-                if w not in known:
-                    known[w] = len(known) + 1
-                    new.append(w)
-        if new:
-            hits = np.array([features(w) for w in new])
-            self.rows = np.concatenate([self.rows, (self.model.given[hits[:, 0]] + self.model.given[hits[:, 1]]).astype(np.float32)])
+            self.numbers, self.rows = _Numbers(), self.rows[:1]
         n = np.array([len(w) for w in texts])
-        numbers = np.fromiter((known[w] for words in texts for w in (words or (None,)) if w is not None), np.int64, int(n.sum()))
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+        if self.numbers.new:
+            hits = np.array([features(w) for w in self.numbers.new])
+            self.rows = np.concatenate([self.rows, (self.model.given[hits[:, 0]] + self.model.given[hits[:, 1]]).astype(np.float32)])
+            self.numbers.new = []
         sums = np.zeros((len(texts), self.rows.shape[1]))
         full = np.flatnonzero(n)
         if len(full):
-            sums[full] = np.add.reduceat(self.rows[numbers], np.r_[0, np.cumsum(n[full])[:-1]], axis=0, dtype=np.float64)
+            sums[full] = np.add.reduceat(self.rows[numbers].astype(np.float64), np.r_[0, np.cumsum(n[full])[:-1]], axis=0)
         score = self.model.prior + sums * (np.minimum(n, 64) / np.maximum(n, 1))[:, None]
         score = np.exp(score - score.max(1, keepdims=True))
         return score / score.sum(1, keepdims=True)
@@ -125,12 +142,23 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
+        held: dict[str, Counter] = {}  # words not yet in the counts of buckets
+
+        def settle(domain: str) -> None:
+            words = held.pop(domain)
+            if words:
+                np.add.at(of[domain], np.array([_buckets[w] for w in words]), np.fromiter(words.values(), np.int64, len(words))[:, None])
+
         for batch in batches:
             for text, domain in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts = of.setdefault(domain, np.zeros(BUCKETS, np.int64))
+                of.setdefault(domain, np.zeros(BUCKETS, np.int64))
                 seen[domain] = seen.get(domain, 0) + 1
-                if words := _split(text.as_py()):
-                    np.add.at(counts, np.array([_buckets[w] for w in words]).ravel(), 1)
+                words = held.setdefault(domain, Counter())
+                words.update(_split(text.as_py()))
+                if len(words) > MEMORY // MOST_DOMAINS:
+                    settle(domain)
+        for domain in list(held):
+            settle(domain)
         for domain, counts in of.items():
             some = np.flatnonzero(counts)
             buckets, n = np.r_[-1, some], np.r_[seen[domain], counts[some]]
