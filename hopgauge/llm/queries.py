@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, mixing, packing, pii, quality, simhash, spherical, substring, tokencount, toxicity
+from hopgauge.llm import chat, mixing, packing, pieces, pii, quality, simhash, spherical, substring, tokencount, toxicity
 
 QUERIES = {
     "op1_convolutional_toxicity": toxicity.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_phrase_automata": substring.query,
     "op9_soft_membership_mixing": mixing.query,
     "op10_keyed_surrogates": pii.query,
+    "op13_piece_round_trip": pieces.query,
 }
 
 ORACLES = {
