@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from hopgauge.llm import chat, mixing, packing, pieces, pii, quality, simhash, spherical, substring, tokencount, toxicity
+from hopgauge.llm import chat, lexical, merkle, mixing, packing, pieces, pii, quality, simhash, spherical, substring, tokencount, toxicity
 
 QUERIES = {
     "op1_convolutional_toxicity": toxicity.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_phrase_automata": substring.query,
     "op9_soft_membership_mixing": mixing.query,
     "op10_keyed_surrogates": pii.query,
+    "op11_nra_search": lexical.query,
+    "op12_merkle_manifest": merkle.query,
     "op13_piece_round_trip": pieces.query,
 }
 
@@ -21,4 +23,6 @@ ORACLES = {
     "op6_spherical_caps": spherical.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op8_phrase_automata": substring.ORACLE,
+    "op11_nra_search": lexical.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
