@@ -50,10 +50,10 @@ def main(args: list[str] | None = None) -> None:
         grid = json.loads(a.grid)
         grid = satellite.Grid(**(grid | {"x": tuple(grid["x"]), "y": tuple(grid["y"])}))
         found = scenes.require_some(spark.read.parquet(a.scenes).where(F.col("scene_time").between(a.start, a.end)), a.scenes, a.start, a.end)
-        w = satellite.stored_weights(spark.read.parquet(a.geometry), grid, a.weights_folder)
-        done = satellite.extract(found, w.weights, w.coverage, a.channels.split(","))
+        paths = satellite.stored_paths(spark.read.parquet(a.geometry), grid, a.weights_folder)
+        done = satellite.extract(found, paths, a.channels.split(","))
         sinks.save_means(done.means, f"{a.out}/means", a.overwrite)
-        sinks.save(w.coverage, f"{a.out}/links", a.overwrite)
+        sinks.save(geo.link_coverage(paths), f"{a.out}/links", a.overwrite)
         sinks.save_info(spark, scenes.outcome_counts(done.outcomes).first().asDict(), f"{a.out}/info", a.overwrite)
     else:
         pixels = spark.read.parquet(a.pixels).where(F.col("scene_time").between(a.start, a.end))

@@ -112,9 +112,9 @@ ENDPOINTS = """endpoints AS (
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scene_time (number), channel, values: embeddings as 8 x 8 rasters, every seventh pixel missing."""
+    """scene_time (number), channel, values: embeddings as 8 x 8 rasters, every seventh pixel missing. Dealt by scene: a raster is small beside the means that it gives."""
     missing = lambda v, i: F.when(i % 7 != F.col("vec_id") % 7, v)
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scene_time"), F.col("label").alias("channel"), F.transform("embedding", missing).alias("values"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scene_time"), F.col("label").alias("channel"), F.transform("embedding", missing).alias("values")).repartition("scene_time")
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,17 +241,20 @@ def geo_clip(spark: SparkSession, d: str) -> DataFrame:
     return df.select("cml_id", F.round("t0", 9).alias("t0"), F.round("t1", 9).alias("t1"))
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return geo.path_weights(geo.segments(fx.endpoints(spark, d), _edges(), _edges()), F.lit(8))
+#: Edges of the 8 x 8 grid of the queries.
+_LINES = [float(k) for k in range(9)]
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    return geo.paths(fx.endpoints(spark, d), _LINES, _LINES)
 
 
 def geo_path_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(spark, d).where("wt > 1e-9").select("cml_id", "pix", F.round(F.col("wt").cast("double"), 5).alias("wt"))
+    return geo.path_weights(_paths(spark, d)).select("cml_id", "pix", F.round(F.col("wt").cast("double"), 5).alias("wt"))
 
 
 def geo_link_coverage(spark: SparkSession, d: str) -> DataFrame:
-    links = fx.endpoints(spark, d)
-    return geo.link_coverage(links, geo.segments(links, _edges(), _edges()).where("weight > 1e-9")).withColumn("intersects", F.col("intersects").cast("int"))
+    return geo.link_coverage(_paths(spark, d)).withColumn("intersects", F.col("intersects").cast("int"))
 
 
 def geo_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -261,21 +264,21 @@ def geo_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_path_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _double(geo.gather_means(fx.rasters(spark, d), _weights(spark, d), fx.endpoints(spark, d)), "path_mean").where("path_mean IS NOT NULL")
+    return _double(geo.gather_means(fx.rasters(spark, d), _paths(spark, d)), "path_mean").where("path_mean IS NOT NULL")
 
 
 def agg_path_mean_dense(spark: SparkSession, d: str) -> DataFrame:
     """Links off the grid, too, with NULL."""
-    return _double(geo.gather_means(fx.rasters(spark, d), _weights(spark, d), fx.endpoints(spark, d)), "path_mean")
+    return _double(geo.gather_means(fx.rasters(spark, d), _paths(spark, d)), "path_mean")
 
 
 def agg_extract(spark: SparkSession, d: str) -> DataFrame:
     """The extraction job for three channels, one of which no scene has; bad scenes have no means."""
-    return _double(satellite.extract(fx.scenes(spark, d), _weights(spark, d), fx.endpoints(spark, d), ["0", "1", "none"]).means, "path_mean")
+    return _double(satellite.extract(fx.scenes(spark, d), _paths(spark, d), ["0", "1", "none"]).means, "path_mean")
 
 
 def geo_build_weights(spark: SparkSession, d: str) -> DataFrame:
-    return satellite.build_weights(fx.geometry(spark, d), satellite.Grid(**fx.GRID)).weights.select("cml_id", "pix", F.round(F.col("wt").cast("double"), 4).alias("wt"))
+    return geo.path_weights(satellite.build_paths(fx.geometry(spark, d), satellite.Grid(**fx.GRID))).select("cml_id", "pix", F.round(F.col("wt").cast("double"), 4).alias("wt"))
 
 
 #: Values by polarization that the query below uses instead of the power law.
@@ -407,8 +410,8 @@ SELECT count(*) AS n_scenes, count(*) - count(error) AS n_written, count(error)
 SELECT p_size, CAST(k AS INT) AS k, round(CASE WHEN a IS NULL THEN c - (b - c) / 2 ELSE (a + c) / 2 END, 4) AS edge FROM n WHERE n > 1
 UNION ALL SELECT p_size, CAST(n AS INT), round(c + (c - a) / 2, 4) FROM n WHERE n > 1 AND b IS NULL"""),
     "geo_clip": (geo_clip, f"WITH {_CLIP} SELECT cml_id, round(t0, 9) AS t0, round(t1, 9) AS t1 FROM clip"),
-    "geo_path_weights": (geo_path_weights, f"WITH {_PIECES} SELECT cml_id, pix, round(wt::DOUBLE, 5) AS wt FROM weights WHERE wt > 1e-9"),
-    "geo_link_coverage": (geo_link_coverage, f"WITH {_PIECES} SELECT e.cml_id, CAST(count(w) AS INT) AS n_pixels, CAST(count(w) > 0 AS INT) AS intersects FROM endpoints e LEFT JOIN placed p ON p.cml_id = e.cml_id AND w > 1e-9 GROUP BY 1"),
+    "geo_path_weights": (geo_path_weights, f"WITH {_PIECES} SELECT cml_id, pix, round(wt::DOUBLE, 5) AS wt FROM weights"),
+    "geo_link_coverage": (geo_link_coverage, f"WITH {_PIECES} SELECT e.cml_id, CAST(count(w) AS INT) AS n_pixels, CAST(count(w) > 0 AS INT) AS intersects FROM endpoints e LEFT JOIN placed p ON p.cml_id = e.cml_id GROUP BY 1"),
     "geo_projection": (geo_projection, _GEOS),
     "agg_path_mean": (agg_path_mean, f"{_MEANS} SELECT scene_time, channel, cml_id, {_rounded('path_mean')} FROM means"),
     "agg_path_mean_dense": (agg_path_mean_dense, f"""{_MEANS} SELECT c.scene_time, c.channel, e.cml_id, {_rounded('path_mean')}

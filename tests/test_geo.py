@@ -29,18 +29,18 @@ def test_edges(spark):
 )
 def test_path_weights(spark, row, want):
     one = links(spark, [row])
-    pieces = geo.segments(one, arr([0, 1, 2]), arr([0, 1]))
-    assert {r.pix: pytest.approx(r.wt, rel=1e-6) for r in geo.path_weights(pieces, F.lit(2)).collect()} == want
-    cover = geo.link_coverage(one, pieces).first()
+    paths = geo.paths(one, [0, 1, 2], [0, 1])
+    assert {r.pix: pytest.approx(r.wt, rel=1e-6) for r in geo.path_weights(paths).collect()} == want
+    cover = geo.link_coverage(paths).first()
     assert (cover.n_pixels, cover.intersects) == (len(want), int(bool(want)))
 
 
 def test_weights_sum_to_one_and_do_not_depend_on_direction_or_axis_order(spark):
     rng = np.random.default_rng(2)
     rows = rng.uniform(-2, 10, (60, 4))
-    there = geo.path_weights(geo.segments(links(spark, rows), arr(range(9)), arr(range(9))), F.lit(8)).toPandas()
-    back = geo.path_weights(geo.segments(links(spark, rows[:, [2, 3, 0, 1]]), arr(range(9)), arr(range(9))), F.lit(8)).toPandas()
-    flipped = geo.path_weights(geo.segments(links(spark, rows), arr(range(8, -1, -1)), arr(range(9))), F.lit(8)).toPandas()
+    there = geo.path_weights(geo.paths(links(spark, rows), range(9), range(9))).toPandas()
+    back = geo.path_weights(geo.paths(links(spark, rows[:, [2, 3, 0, 1]]), range(9), range(9))).toPandas()
+    flipped = geo.path_weights(geo.paths(links(spark, rows), range(8, -1, -1), range(9))).toPandas()
     flipped["pix"] = flipped.pix // 8 * 8 + 7 - flipped.pix % 8
     assert there.groupby("cml_id").wt.sum().sub(1).abs().max() < 1e-5
     want = there[there.wt > 1e-6].set_index(["cml_id", "pix"]).wt
@@ -51,7 +51,7 @@ def test_weights_sum_to_one_and_do_not_depend_on_direction_or_axis_order(spark):
 def test_weights_equal_dense_sampling(spark):
     rng = np.random.default_rng(3)
     rows = rng.uniform(-1, 9, (20, 4))
-    got = geo.path_weights(geo.segments(links(spark, rows), arr(range(9)), arr(range(9))), F.lit(8)).toPandas()
+    got = geo.path_weights(geo.paths(links(spark, rows), range(9), range(9))).toPandas()
     t = (np.arange(200_000) + 0.5) / 200_000
     for k, (x0, y0, x1, y1) in enumerate(rows):
         x, y = x0 + t * (x1 - x0), y0 + t * (y1 - y0)
@@ -65,27 +65,56 @@ def test_weights_equal_dense_sampling(spark):
 
 def test_path_mean_leaves_out_missing_pixels(spark):
     pixels = spark.createDataFrame([(1, 1, 0, None), (1, 1, 1, 10.0), (2, 1, 0, float("nan")), (2, 1, 1, None)], "scene_time int, channel int, pix long, value float")
-    weights = spark.createDataFrame([(7, 0, 2 / 3), (7, 1, 1 / 3)], "cml_id long, pix long, wt float")
-    means = geo.path_means(pixels, weights)
+    paths = spark.createDataFrame([(7, [0, 1], [2 / 3, 1 / 3], 2), (8, [], [], 0)], "cml_id long, pix array<long>, wt array<float>, n_pixels int")
+    means = geo.path_means(pixels, geo.path_weights(paths))
     assert [(r.scene_time, r.path_mean) for r in means.collect()] == [(1, 10.0)]
-    rasters = spark.createDataFrame([(1, 1, [None, 10.0]), (2, 1, [float("nan"), None]), (3, 1, None)], "scene_time int, channel int, values array<float>")
-    links = weights.select("cml_id").distinct().union(spark.createDataFrame([(8,)], "cml_id long"))
-    every = geo.gather_means(rasters, weights, links)
-    assert {(r.scene_time, r.cml_id, r.path_mean) for r in every.collect()} == {(s, c, 10.0 if (s, c) == (1, 7) else None) for s in (1, 2, 3) for c in (7, 8)}
-
-
-def test_gathered_means_do_not_turn_pixels_into_rows_or_keys(spark):
-    rasters = spark.createDataFrame([(k, 1, [float(k)] * 4) for k in range(5)], "scene_time int, channel int, values array<float>")
-    weights = spark.createDataFrame([(c, p, 0.25) for c in range(1300) for p in range(4)], "cml_id long, pix long, wt float")
-    out = geo.gather_means(rasters, weights, weights.select("cml_id").distinct())  # three blocks of links
+    # no raster, one without a finite pixel, one that is too small
+    rasters = spark.createDataFrame([(1, 1, [None, 10.0]), (2, 1, [float("nan"), None]), (3, 1, None), (4, 1, [5.0])], "scene_time int, channel int, values array<float>")
+    every = geo.gather_means(rasters, paths)
+    assert {(r.scene_time, r.cml_id, r.path_mean) for r in every.collect()} == {(s, c, 10.0 if (s, c) == (1, 7) else None) for s in (1, 2, 3, 4) for c in (7, 8)}
+    assert geo.gather_means(rasters, paths.limit(0)).count() == 0 and geo.gather_means(rasters.limit(0), paths).count() == 0
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_gathered_means_do_not_turn_pixels_into_rows_or_keys(spark, monkeypatch, limit):
+    """Three blocks of links; broadcast below the limit, dealt by block and scene beyond. Equal to the join on pixels, to the last bit."""
+    monkeypatch.setattr(geo, "BROADCAST", limit)
+    rng = np.random.default_rng(6)
+    rasters = spark.createDataFrame([(k, c, [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=64)]) for k in range(5) for c in ("a", "b")], "scene_time int, channel string, values array<float>")
+    links_ = links(spark, rng.uniform(-1, 9, (1300, 4))).withColumn("cml_id", F.concat(F.lit("link"), "cml_id"))
+    paths = geo.paths(links_, range(9), range(9))
+    out = geo.gather_means(rasters, paths)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "posexplode" not in plan and "pix" not in plan.split("Join")[1].split("\n")[0]
-    got = out.collect()
-    assert len(got) == 5 * 1300 and all(r.path_mean == r.scene_time for r in got)
+    assert "posexplode" not in plan and "pix" not in plan.split("Join")[1].split("\n")[0] and ("salt" in plan) == (limit == 0)
+    got = {(r.scene_time, r.channel, r.cml_id): r.path_mean for r in out.collect()}
+    assert len(got) == 10 * 1300
+    want = {(r.scene_time, r.channel, r.cml_id): r.path_mean for r in geo.path_means(scenes.pixels(rasters), geo.path_weights(paths)).collect()}
+    assert {k for k, v in got.items() if v is not None} == want.keys()
+    assert all(math.isclose(got[k], v, rel_tol=1e-5, abs_tol=1e-6) for k, v in want.items())
+
+
+def test_walk_passes_every_cell_once_and_in_order():
+    rng = np.random.default_rng(9)
+    xs, ys = np.cumsum(rng.uniform(0.1, 2, 30)), np.cumsum(rng.uniform(0.1, 2, 20))[::-1]
+    ends = np.r_[rng.uniform(-3, 40, (300, 4)), [[xs[2], ys[3], xs[9], ys[3]], [xs[4], ys[0], xs[4], ys[-1]], [np.nan, 1, 2, 3], [5, 5, 5, 5], [xs[0], ys[0], xs[-1], ys[-1]]]]
+    link, row, col, weight = geo.walk(ends, xs, ys)
+    assert (np.diff(link) >= 0).all() and (weight > 0).all() and set(link) & {302, 303} == set()
+    for k in range(300):
+        here = link == k
+        cells = list(zip(row[here], col[here], strict=True))
+        # slivers aside, neighbours differ by one step and no cell is passed twice
+        large = [c for c, w in zip(cells, weight[here], strict=True) if w > 1e-9]
+        assert len(set(large)) == len(large) and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(large, large[1:], strict=False))
+    t = (np.arange(100_000) + 0.5) / 100_000
+    for k in range(0, 300, 17):
+        x, y = ends[k, 0] + t * (ends[k, 2] - ends[k, 0]), ends[k, 1] + t * (ends[k, 3] - ends[k, 1])
+        inside = (x >= xs[0]) & (x < xs[-1]) & (y >= ys[-1]) & (y < ys[0])
+        assert abs(weight[link == k].sum() - inside.mean()) < 1e-4
+    assert len(geo.walk(np.zeros((0, 4)), xs, ys)[0]) == 0
 
 
 def test_constant_raster_gives_its_value(spark):
-    weights = geo.path_weights(geo.segments(links(spark, np.random.default_rng(4).uniform(0, 8, (9, 4))), arr(range(9)), arr(range(9))), F.lit(8))
+    weights = geo.path_weights(geo.paths(links(spark, np.random.default_rng(4).uniform(0, 8, (9, 4))), range(9), range(9)))
     raster = spark.createDataFrame([(1, 2, [4.5] * 64)], "scene_time int, channel int, values array<float>")
     assert {round(r.path_mean, 5) for r in geo.path_means(scenes.pixels(raster), weights).collect()} == {4.5}
 
@@ -128,7 +157,7 @@ def test_sinks(spark, tmp_path):
 def test_stream_equals_batch(spark, tmp_path):
     geometry, pixels = scenes.demo(spark, scenes=3, ny=8, nx=8, links=5, channels=2)
     assert geometry.count() == 5 and pixels.count() == 3 * 2 * 64
-    weights = geo.path_weights(geo.segments(links(spark, np.random.default_rng(4).uniform(0, 8, (5, 4))), arr(range(9)), arr(range(9))), F.lit(8))
+    weights = geo.path_weights(geo.paths(links(spark, np.random.default_rng(4).uniform(0, 8, (5, 4))), range(9), range(9)))
     pixels.write.parquet(str(tmp_path / "in"))
     pixels = spark.read.parquet(str(tmp_path / "in"))
     # each file holds whole scenes
