@@ -9,7 +9,7 @@ A window is ``window`` consecutive words; a word goes if a window over it also s
    need no search. The others' passages stream through automata; equal passages (by two hashes of 64 bits) do so once, for all documents that hold them.
 3. Automata are sharded by phrase: all passages of a phrase meet in one task, which compiles the windows that two or more documents
    hold into an Aho-Corasick automaton (pyahocorasick, over words), each with its earliest document, and streams the passages through it. A task takes
-   one phrase after the other and starts a new automaton every PATTERNS windows.
+   one phrase after the other and starts a new automaton every PATTERNS windows or BLOCK_WORDS words.
 4. A phrase with more than SHARD different passages is dealt over many shards: its recurring windows are confirmed by a grouping of
    window hashes over all tasks, dealt into blocks of about PATTERNS windows, and every shard of passages streams through every block. Such a phrase has few recurring
    windows as a rule (its passages differ at their ends); the work for one with many of both grows with their product, memory does not.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from hopgauge.llm.common import partitions, spent, table, written
 
 WINDOW, PHRASE = 50, 8
-#: Different passages of one phrase that one task takes, and windows in one automaton, about.
-SHARD, PATTERNS = 1024, 1 << 15
+#: Different passages of one phrase that one task takes, and windows and words in one automaton, about.
+SHARD, PATTERNS, BLOCK_WORDS = 1024, 1 << 15, 1 << 19
 #: Entries of a worker's memory of word hashes; it is emptied when full.
 MEMORY = 1 << 19
 LAST = 2**63 - 1
@@ -159,7 +159,7 @@ FOUND_TYPES = "phrase long, passage long, start int, end int, owner long"
 
 
 class Coder:
-    """Words as characters, so that an automaton's steps are words. A block's words are far fewer than there are characters."""
+    """Words as characters, so that an automaton's steps are words. There are 1,112,063 of them: a block holds BLOCK_WORDS words and the passages of one phrase (SHARD times less than 2 windows) more at most."""
 
     def __init__(self) -> None:
         self.codes: dict[bytes, str] = {}
@@ -237,7 +237,7 @@ def _meetings(spans: DataFrame, window: int) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        windows, phrase = 0, None
+        windows, words, phrase = 0, 0, None
 
         def found() -> pa.RecordBatch:
             return _batch([(*held[i][:2], start, end, owner) for i, start, end, owner in locate_all([h[2:] for h in held], window)])
@@ -245,12 +245,14 @@ def _meetings(spans: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if row[0] != phrase:
-                    if windows > PATTERNS:
+                    if windows > PATTERNS or words > BLOCK_WORDS:
                         yield found()
-                        held, windows = [], 0
+                        held, windows, words = [], 0, 0
                     phrase = row[0]
                 held.append(row)
-                windows += 1 if row[2] == 1 else row[5].count(" ") + 2 - window
+                size = row[5].count(" ") + 1
+                windows += 1 if row[2] == 1 else size + 1 - window
+                words += size
         yield found()
 
     n = partitions(spans.sparkSession)

@@ -104,3 +104,10 @@ def test_query_equals_sql(spark):
     con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     got, want = substring.query(spark, "/root/testdata/sf0.001").toPandas(), con.execute(substring.ORACLE).df()
     assert got.sort_values("doc_id").reset_index(drop=True).equals(want[got.columns].sort_values("doc_id").reset_index(drop=True))
+
+
+def test_more_different_words_than_there_are_characters(spark):
+    """Two copies of 2.4 million different words: an automaton takes a bounded number of words."""
+    text = " ".join(f"{k:x}" for k in range(2_400_000))
+    got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame([(1, text), (2, "a " + text)], "doc_id long, text string")).select("doc_id", "n_words", "n_removed").collect()}
+    assert (got[1].n_words, got[1].n_removed, got[2].n_words, got[2].n_removed) == (2_400_000, 0, 2_400_001, 2_400_000)
