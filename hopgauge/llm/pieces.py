@@ -15,7 +15,7 @@ Compatibility of u and v: while u and v are merged from their characters, the sy
 would take them up otherwise. Of equal ranks the merge in u comes first and the one in v last, as leftmost goes first.
 
 A space is a piece character of its own that only begins pieces (or fills whole ones), so texts are cut before runs of spaces
-and the encodings of short words are remembered (at most WORDS). Characters that no piece has never merge; their ids are those of their
+and the encodings of short words are remembered. Characters that no piece has never merge; their ids are those of their
 UTF-8 bytes, or the unknown id for a model without byte pieces. Models with user-defined or unused pieces or with a normalizer of
 their own are refused.
 
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from hopgauge.llm.common import table
 
 SPACE = "▁"
-#: Remembered words of at most LONGEST characters, and remembered pairs of pieces; either is emptied when full.
-WORDS, LONGEST, PAIRS = 1 << 18, 48, 1 << 21
+#: Remembered words (twice as many) of at most LONGEST characters, and remembered pairs of pieces, which are forgotten when full.
+WORDS, LONGEST, PAIRS = 1 << 18, 48, 1 << 20
 NEVER = 1 << 60
 
 
@@ -67,18 +67,22 @@ class Pieces:
         self.ids = {self.names[i]: i for i in plain}
         if any(SPACE in n.lstrip(SPACE) for n in self.rank):
             raise ValueError("a piece has a space behind another character")
+        self.letters = {c for n in self.rank for c in n}
+        # symbols by number: pieces, and characters that are no piece themselves but take part in merges; the last number stands for the text's begin
+        self.symbols = [*self.rank, *sorted(self.letters - self.rank.keys())]
+        self.sizes = [len(n) for n in self.symbols]
+        self.begin = len(self.symbols)
+        self.written = [[self.ids[n]] if n in self.ids else self.fallback(n) for n in self.symbols]
         self.automaton = ahocorasick.Automaton()
-        for name in self.rank:
-            self.automaton.add_word(name, name)
-        letters = {c for n in self.rank for c in n}
-        for c in letters - self.rank.keys():
-            self.automaton.add_word(c, c)  # a character that is no piece itself still takes part in merges
+        for k, name in enumerate(self.symbols):
+            self.automaton.add_word(name, k)
         self.automaton.make_automaton()
-        self.letters = letters
         self.edges: dict[str, tuple[list[tuple[str, int]], list[tuple[str, int]]] | None] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
-        own = "".join(re.escape(c) for c in "\n\t\r" if c not in letters)
+        self.apart: dict[int, bool] = {}
+        self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.utf8 = {str(i): b"" if i in self.control else bytes([self.bytes[i]]) if i in self.bytes else " ⁇ ".encode() if i == self.unknown else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)}
+        own = "".join(re.escape(c) for c in "\n\t\r" if c not in self.letters)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}{own}]*|[^{SPACE}{own}]+" + (f"|[{own}]" if own else ""))
 
     def spines(self, piece: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]] | None:
@@ -100,13 +104,13 @@ class Pieces:
             self.edges[piece] = (left + [(piece, NEVER)], right + [(piece, NEVER)]) if len(parts) == 1 else None
         return self.edges[piece]
 
-    def compatible(self, one: str, two: str) -> bool:
-        """Whether the encoding of one + two is these two."""
-        if (known := self.apart.get((one, two))) is None:
-            if len(self.apart) >= PAIRS:
-                self.apart.clear()
-            known = self.apart[one, two] = self.stays_apart(one, two)
-        return known
+    def compatible(self, one: int, two: int) -> bool:
+        """Whether the encoding of symbol one (or the text's begin) and symbol two is these two."""
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        found = self.spines(self.symbols[two]) is not None if one == self.begin else self.stays_apart(self.symbols[one], self.symbols[two])
+        self.apart[one * (self.begin + 1) + two] = found
+        return found
 
     def stays_apart(self, one: str, two: str) -> bool:
         ours, theirs = self.spines(one), self.spines(two)
@@ -125,18 +129,23 @@ class Pieces:
             else:
                 j += 1
 
-    def chain(self, text: str) -> list[str]:
-        """The pieces of a text whose characters all occur in pieces."""
-        last: list[str] = [""] * (len(text) + 1)  # by prefix
-        for end, piece in self.automaton.iter(text):
-            if not last[end + 1]:
-                before = end + 1 - len(piece)
-                if self.compatible(last[before], piece) if before else self.spines(piece) is not None:
-                    last[end + 1] = piece
+    def chain(self, text: str) -> list[int]:
+        """The symbols of a text whose characters all occur in pieces."""
+        last = [self.begin, *[-1] * len(text)]  # by prefix
+        sizes, known, row = self.sizes, self.apart.get, self.begin + 1
+        for end, symbol in self.automaton.iter(text):
+            end += 1
+            if last[end] < 0:
+                before = last[end - sizes[symbol]]
+                if (apart := known(before * row + symbol)) is None:
+                    apart = self.compatible(before, symbol)
+                if apart:
+                    last[end] = symbol
         found, end = [], len(text)
         while end:
-            found.append(last[end])
-            end -= len(last[end])
+            symbol = last[end]
+            found.append(symbol)
+            end -= sizes[symbol]
         return found[::-1]
 
     def fallback(self, char: str) -> list[int]:
@@ -154,17 +163,16 @@ class Pieces:
         return ids + self.known(word[start:])
 
     def known(self, text: str) -> list[int]:
-        return [i for p in self.chain(text) for i in ([self.ids[p]] if p in self.ids else self.fallback(p))] if text else []
-
-    def entry(self, word: str) -> tuple[str, int, str]:
-        """Ids as text, their number, and what they decode to."""
-        if (found := self.words.get(word)) is None:
-            ids = self.encode_word(word)
-            found = ",".join(map(str, ids)), len(ids), self.surface(ids)
-            if len(word) <= LONGEST:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = found
+        return [i for symbol in self.chain(text) for i in self.written[symbol]] if text else []
+
+    def entry(self, word: str) -> str:
+        """Ids joined by commas. Words that were met lately are remembered in two generations, so that memory is bounded and frequent words stay."""
+        if (found := self.older.get(word)) is None:
+            found = ",".join(map(str, self.encode_word(word)))
+        if len(word) <= LONGEST:
+            if len(self.words) >= WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = found
         return found
 
     def parts(self, text: str) -> list[str]:
@@ -193,10 +201,21 @@ class Pieces:
 
     def summary(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids joined by commas, digest of the decoded text."""
-        found = [self.entry(w) for w in self.parts(text)]
-        ids = ",".join([f[0] for f in found])
-        decoded = "".join([f[2] for f in found]).removeprefix(" ")
-        return sum(f[1] for f in found), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        words, entry = self.words.get, self.entry
+        found = []
+        for word in self.parts(text):
+            if (ids := words(word)) is None:
+                ids = entry(word)
+                words = self.words.get
+            found.append(ids)
+        joined = ",".join(found)
+        ids = joined.split(",") if joined else []
+        decoded = b"".join(map(self.utf8.__getitem__, ids)).removeprefix(b" ")
+        try:
+            decoded.decode()
+        except UnicodeDecodeError:
+            decoded = self.decode(map(int, ids)).encode()
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def characters(held: bytes) -> str:
