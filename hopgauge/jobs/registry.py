@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hopgauge.functions.columns import SERIES, gigahertz, gigahertz_of_table
 from hopgauge.jobs import fixtures as fx
 from hopgauge.jobs import satellite
-from hopgauge.operators import gaps, geo, quality, rolling
+from hopgauge.operators import blocks, gaps, geo, quality, rain, rolling
 from hopgauge.sources import scenes
 
 EDGES = [float(k) for k in range(9)]
@@ -224,6 +224,28 @@ def qc_link(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge_links(_judged(spark, d))
 
 
+#: Samples of a block of the queries below: many blocks a series, and halos longer than a block.
+_BLOCK = 200
+
+
+def qc_blocks(spark: SparkSession, d: str) -> DataFrame:
+    got = blocks.run(fx.samples(spark, d), fx.links(spark, d), fx.sublinks(spark, d), quality.Config(), rows=_BLOCK)
+    return _double(got.sublinks.select(*_JUDGED), "detection_limit")
+
+
+def win_blocks(spark: SparkSession, d: str) -> DataFrame:
+    df = blocks.whole_series(blocks.process_blocks(fx.samples(spark, d), quality.Config(), rows=_BLOCK))
+    return _double(df.select(*SERIES, "idx", "isSane_plateaus_rsl", "flag_blackout_fill", "tsl", "rsl", "trsl"), "tsl", "rsl", "trsl")
+
+
+def mth_rain_regression(spark: SparkSession, d: str) -> DataFrame:
+    """k, its exponent and the rain rate at 1 dB, for the parts as sublinks of either polarization."""
+    s = fx.statics(spark, d)
+    f, p = gigahertz(F.col("frequency")), F.when(F.col("pos") % 3 == 0, "H").otherwise("V")
+    k, a = rain.k_and_a(f, p)
+    return s.select("pos", F.round(k, 9).alias("k"), F.round(a, 9).alias("a"), F.round(rain.rain_rate(F.lit(1.0), F.col("length_km"), f, p), 6).alias("rain_rate"))
+
+
 def flt_first_links(spark: SparkSession, d: str) -> DataFrame:
     s = fx.statics(spark, d)
     return quality.first_links(s.withColumn("cml_id", F.col("pos")), s.select(F.col("pos").alias("cml_id"), "pos"), 10).select("cml_id", "length_km", "frequency")
@@ -369,6 +391,17 @@ _GEOS = """WITH k AS (
 SELECT cml_id, CASE WHEN seen THEN round(atan(vy / (g - vx)) * 35785.831, 4) END AS x_km, CASE WHEN seen THEN round(atan(vz / sqrt(vy * vy + (g - vx) * (g - vx))) * 35785.831, 4) END AS y_km
 FROM (SELECT *, (g - vx) * vx - vy * vy - vz * vz / (p * p) >= 0 AS seen FROM s)
 """
+def _curve(curve: tuple) -> str:
+    terms, slope, offset = curve
+    return " + ".join([f"({slope} * lf + {offset})", *[f"({a} * exp(-pow((lf - ({b})) / ({c}), 2)))" for a, b, c in terms]])
+
+
+_RAIN = f"""WITH {fx.STATICS}, f AS (
+  SELECT pos, length_km, pos % 3 = 0 AS h, log10(CASE WHEN frequency > 1000 THEN frequency / 1e9 ELSE frequency END) AS lf FROM statics
+), c AS (
+  SELECT pos, length_km, pow(10.0::DOUBLE, CASE WHEN h THEN {_curve(rain.K_H)} ELSE {_curve(rain.K_V)} END) AS k, CASE WHEN h THEN {_curve(rain.A_H)} ELSE {_curve(rain.A_V)} END AS a FROM f
+)
+SELECT pos, round(k, 9) AS k, round(a, 9) AS a, round(pow(1 / length_km / k, 1 / a), 6) AS rain_rate FROM c"""
 _STRICT_PLATEAU, _FAST_PLATEAU = _plateau(True), _plateau(False)
 _LONG, _SHORT = _temporal("long"), _temporal("short")
 _FULL, _GRAF, _NONE, _STRICT = _qc("full"), _qc("graf_2020"), _qc("no_filter"), _qc("full", True, 10_800)
@@ -403,6 +436,9 @@ SELECT count(*) AS n_scenes, count(*) - count(error) AS n_written, count(error)
     "qc_no_filter": _NONE,
     "qc_strict_full": _STRICT,
     "qc_link": (qc_link, f'{_judgement("full")}\nSELECT cml_id, bool_or("isSane_sublink") AS "isSane" FROM judged GROUP BY 1'),
+    "qc_blocks": (qc_blocks, _FULL[1]),
+    "win_blocks": (win_blocks, f"""{_chain('full')} SELECT {KEY}, sane AS "isSane_plateaus_rsl", flag AS flag_blackout_fill, {_rounded('tsl', 'rsl', 'trsl')} FROM processed"""),
+    "mth_rain_regression": (mth_rain_regression, _RAIN),
     "flt_first_links": (flt_first_links, f"WITH {fx.STATICS} SELECT pos AS cml_id, length_km, frequency FROM statics ORDER BY pos LIMIT 10"),
     "geo_edges": (geo_edges, """WITH c AS (SELECT DISTINCT p_size, p_retailprice::DOUBLE AS c FROM part), n AS (
   SELECT *, row_number() OVER w - 1 AS k, lag(c) OVER w AS a, lead(c) OVER w AS b, lag(c, 2) OVER w AS a2, count(*) OVER (PARTITION BY p_size) AS n FROM c WINDOW w AS (PARTITION BY p_size ORDER BY c)

@@ -86,15 +86,16 @@ def total_loss(tsl: Column, rsl: Column) -> Column:
     return tsl - rsl
 
 
-def rolling_counts(df: DataFrame, x: str, windows: dict[str, tuple[int, float]], strict: bool = False) -> DataFrame:
-    """One row a series: for each name <name>_high and <name>_valid, numbers of windows with more deviation than the limit and of valid ones."""
+def rolling_counts(df: DataFrame, x: str, windows: dict[str, tuple[int, float]], strict: bool = False, only: Column | None = None) -> DataFrame:
+    """One row a series: for each name <name>_high and <name>_valid, numbers of windows with more deviation than the limit and of valid ones. only: samples that are counted."""
+    only = F.lit(True) if only is None else only
     df = with_rolling_variance(df, x, {f"_v_{k}": n for k, (n, _) in windows.items()}, strict)
     counts = []
     for k, (_, limit) in windows.items():
         v = F.col(f"_v_{k}")
         high = F.sqrt(v).cast("float") > limit if strict else v > limit**2
-        counts += [F.count_if(holds(high)).alias(f"{k}_high"), F.count(v).alias(f"{k}_valid")]
-    return df.groupBy(*SERIES).agg(*counts, F.count_if(F.col(x).isNull()).alias("missing"), F.count(F.lit(1)).alias("samples"))
+        counts += [F.count_if(holds(high) & only).alias(f"{k}_high"), F.count_if(v.isNotNull() & only).alias(f"{k}_valid")]
+    return df.groupBy(*SERIES).agg(*counts, F.count_if(F.col(x).isNull() & only).alias("missing"), F.count_if(only).alias("samples"))
 
 
 def few_high(name: str, share: float) -> Column:
@@ -138,7 +139,11 @@ def process_samples(samples: DataFrame, c: Config = Config()) -> DataFrame:
 
 def judge_sublinks(processed: DataFrame, links: DataFrame, sublinks: DataFrame, c: Config = Config(), coefficient=attenuation) -> DataFrame:
     """One row a series with the detection limit, all flags and isSane_sublink. links: cml_id, length_km; sublinks: SERIES, frequency, polarization."""
-    counts = rolling_counts(processed, "trsl", {"long": (c.long_window, c.long_std), "short": (c.short_window, c.short_std)}, c.strict)
+    return judged(rolling_counts(processed, "trsl", {"long": (c.long_window, c.long_std), "short": (c.short_window, c.short_std)}, c.strict), links, sublinks, c, coefficient)
+
+
+def judged(counts: DataFrame, links: DataFrame, sublinks: DataFrame, c: Config = Config(), coefficient=attenuation) -> DataFrame:
+    """``judge_sublinks`` from the counts of windows."""
     statics = gigahertz_of_table(sublinks) if c.strict else sublinks.withColumn("frequency", gigahertz(F.col("frequency")))
     if "polarization" in statics.columns:
         statics = statics.withColumn("polarization", polarization(F.col("polarization")))
@@ -165,8 +170,8 @@ def with_meanings(df: DataFrame, proc_line: str) -> DataFrame:
 def run(samples: DataFrame, links: DataFrame, sublinks: DataFrame, config: Config = Config(), coefficient=attenuation) -> Result:
     """The link quality job: samples, sublinks and links with their flags. coefficient: specific attenuation of frequency (GHz) and polarization, as columns."""
     processed = process_samples(samples, config)
-    judged = judge_sublinks(processed, links, sublinks, config, coefficient)
-    return Result(*(with_meanings(df, config.proc_line) for df in (processed, judged, judge_links(judged))))
+    verdicts = judge_sublinks(processed, links, sublinks, config, coefficient)
+    return Result(*(with_meanings(df, config.proc_line) for df in (processed, verdicts, judge_links(verdicts))))
 
 
 def coefficients(rows: dict[tuple[float, str], float]):
@@ -181,8 +186,8 @@ def coefficients(rows: dict[tuple[float, str], float]):
     return of
 
 
-def run_info(config: Config, seconds: float) -> dict[str, str | float]:
-    """What is stored beside the results of a run."""
+def run_info(config: Config, seconds: float | None) -> dict[str, str | float | None]:
+    """What is stored beside the results of a run. seconds: of computing without saving, if known."""
     steps = "plateaus, blackout fills, interpolation of the total loss, detection limit, deviations in long and short windows, availability"
     return {"qc_processing_line": config.proc_line, "qc_elapsed_seconds_excluding_save": seconds, "qc_notes": f"Flags follow {steps}."} | {f"qc_{k}": v for k, v in vars(config).items() if k != "proc_line"}
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import datetime
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopgauge.functions.cftime import cf_time
+
+Decoder = Callable[[bytes], tuple[object, dict[str, object]]]
+#: Names of scene files.
+FILES = "SEVIRI_*.nc"
 #: Base names of scene files (fixed format): date and time to the second.
 NAME = r"SEVIRI_([0-9]{8})_([0-9]{6})\.nc$"
 
@@ -31,7 +38,7 @@ def catalogue(files: DataFrame, start: str, end: str, content_time: Column | Non
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """path of the scene files in a folder, without reading them."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "SEVIRI_*.nc").load(folder).select("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(folder).select("path")
 
 
 def require_some(found: DataFrame, folder: str, start: str, end: str) -> DataFrame:
@@ -40,42 +47,71 @@ def require_some(found: DataFrame, folder: str, start: str, end: str) -> DataFra
     return found
 
 
-def read(spark: SparkSession, folder: str, start: str, end: str, decode: Callable[[bytes], tuple[object, dict[str, object]]]) -> DataFrame:
-    """path, scene_time, channels, error of the scenes of a folder within both ends; none is an error. A file is decoded in one task.
+class File(NamedTuple):
+    path: str
+    date: datetime.date | None
+
+
+def files_between(spark: SparkSession, folder: str, start: str, end: str, done: DataFrame | None = None) -> list[File]:
+    """The files of a folder whose names have a time within both ends, or none; without those in ``done`` (path). In order of time.
 
-    decode gives a file's own time (epoch microseconds or None; it counts where the name has none) and its channels (arrays of rows and
-    columns, perhaps masked, perhaps with a first axis of length 1). What goes wrong with a file becomes its error.
+    Only names are looked at. The list is what Spark's own listing of the folder holds on the driver anyway.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "SEVIRI_*").load(folder)
-    named = files.withColumn("named", scene_time(F.col("path")))
-    ends = [F.lit(t).cast("timestamp") for t in (start, end)]
-    wanted = named.where(F.col("named").isNull() | F.col("named").between(*ends)).select("path", F.unix_micros("named").alias("named"), "content")
+    named = list_files(spark, folder).withColumn("time", scene_time(F.col("path")))
+    named = named.where(F.col("time").isNull() | F.col("time").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    named = named if done is None else named.join(done, "path", "left_anti")
+    return [File(*r) for r in named.orderBy("time", "path").select("path", F.to_date("time").alias("date")).collect()]
+
+
+def read_files(spark: SparkSession, paths: Sequence[str], decode: Decoder, channels: Sequence[str] | None = None) -> DataFrame:
+    """path, scene_time, channels, error of scene files; no other file is opened, and each is decoded once, in one task.
 
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    decode gives a file's own time (which counts where the name has none: epoch microseconds, or value, units and calendar, or None) and its channels
+    (arrays of rows and columns, perhaps masked, perhaps with a first axis of length 1), of which the wanted ones are kept. What goes
+    wrong with a file becomes its error.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, named, content in zip(batch["path"], batch["named"], batch["content"], strict=True):
-                time, channels, error = (None if pd.isna(named) else int(named)), None, None
+            for k in range(batch.num_rows):
+                time, rasters, error = None, {}, None
                 try:
-                    own, arrays = decode(bytes(content))
-                    time = own if time is None else time
-                    channels = {c: flat_raster(a) for c, a in arrays.items()}
+                    time, arrays = decode(batch.column(1)[k].as_py())
+                    rasters = {c: flat_raster(a) for c, a in arrays.items() if channels is None or c in channels}
+                    time = (time, "us") if isinstance(time, (int, np.integer)) else time
                 except Exception as e:  # noqa: BLE001 - one bad file must not stop the job; its error is kept
                     error = f"{type(e).__name__}: {e}"
-                rows.append((path, time, channels, error))
-            yield pd.DataFrame(rows, columns=["path", "time", "channels", "error"])
-
-    schema = "path string, time long, channels map<string,array<float>>, error string"
-    found = wanted.mapInPandas(opened, schema).select("path", F.timestamp_micros("time").alias("scene_time"), "channels", "error")
-    return require_some(found.where(F.col("scene_time").between(*ends)), folder, start, end)
+                value, units, calendar = (*(time or ()), None, None, None)[:3]
+                sizes = np.r_[0, np.cumsum([len(v) for v in rasters.values()])].astype(np.int32)
+                values = pa.ListArray.from_arrays(sizes, pa.array(np.concatenate([*rasters.values(), np.zeros(0, np.float32)]), pa.float32()))
+                maps = pa.MapArray.from_arrays(np.array([0, len(rasters)], np.int32), pa.array(list(rasters), pa.string()), values)
+                texts = [pa.array([None if v is None else str(v)], pa.string()) for v in (value, units, calendar, error)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), maps, *texts], ["path", "channels", "value", "units", "calendar", "error"])
+
+    found = files.mapInArrow(opened, "path string, channels map<string,array<float>>, value string, units string, calendar string, error string")
+    value = F.col("value").try_cast("decimal(28,9)")
+    own = F.when(F.col("units") == "us", F.timestamp_micros(value.cast("long"))).when(value.isNotNull(), cf_time(value, F.col("units"), F.col("calendar")))
+    ok = F.col("error").isNull()
+    return found.select("path", F.coalesce(scene_time(F.col("path")), own).alias("scene_time"), F.when(ok, F.col("channels")).alias("channels"), "error")
+
+
+def read(spark: SparkSession, folder: str, start: str, end: str, decode: Decoder, channels: Sequence[str] | None = None) -> DataFrame:
+    """``read_files`` of the scenes of a folder within both ends; none is an error. Files whose names tell that they are out of range are never opened."""
+    files = files_between(spark, folder, start, end)
+    if not files:
+        raise FileNotFoundError(f"no scene in {folder} between {start} and {end}")
+    found = read_files(spark, [f.path for f in files], decode, channels).where(F.col("scene_time").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    # only contents tell whether there is a scene if no name has a time
+    return found if any(f.date for f in files) else require_some(found, folder, start, end)
 
 
-def flat_raster(values: object) -> list[float]:
+def flat_raster(values: object) -> np.ndarray:
     """A raster's values by pixel number (row * nx + col); masked ones are NaN, a first axis of length 1 is none."""
     filled = np.ma.filled(np.ma.asarray(values, dtype="float32"), np.nan)
     if filled.ndim == 3 and filled.shape[0] == 1:
         filled = filled[0]
-    return filled.reshape(-1).tolist()
+    return filled.reshape(-1)
 
 
 def pixels(rasters: DataFrame) -> DataFrame:

@@ -41,6 +41,27 @@ def complete(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202 - objects of the JVM
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def flushes(spark: SparkSession, folder: str) -> dict[str, bool]:
+    """The flushes (tables in folders flush=...) of a folder, and whether they were written to their end."""
+    at, fs = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return {n.removeprefix("flush="): complete(spark, f"{folder}/{n}") for n in names if n.startswith("flush=")}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def read_flushes(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    return spark.read.option("basePath", folder).parquet(*[f"{folder}/flush={k}" for k in keys]).drop("flush")
+
+
 def weights_key(links: DataFrame, edges: tuple[list[float], list[float]]) -> str:
     """Name of a stored table of weights, which depends on the links' geometry and the grid, so that no stale one is used again."""
     row = links.agg(F.sum(F.xxhash64("cml_id", "x0", "y0", "x1", "y1").cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")).first()
