@@ -11,14 +11,16 @@ each of the item's lists in which it was not met and that is not read to its end
 if that is lower. The lists where it was met all have the same bound there, the cut less one, until they end; so a candidate needs no set of
 lists, only the sum of the item's term counts over the lists where it was met, by the round in which they end.
 
-An item takes in new documents until what an unmet one could reach is below its k-th lower bound. Candidates whose upper bound is
-below that, or equals it with a higher doc_id, go. Rounds go on until all that remain have an interval of one value, that is, until membership, ties and
-final scores are known; an item that is done takes no part in further rounds. Items that take in nothing any more read
-by their few candidates.
+Candidates whose upper bound is below the k-th lower bound of their item, or equals it with a higher doc_id, go. So does every document met from then on
+that can't reach it any more: once what an unmet one could reach is too low, none comes in. (One that went and is met again counts from nothing; its
+lower bound stays below the k-th.) An item is done when no unmet document can come in and all its candidates have an interval of one value, that is,
+when membership, ties and final scores are known; its lists are not read for it in further rounds.
 
 Sizes. Documents are read once, each becomes one row of counts; terms of no item are left out by a bit table of fixed size (FILTER) before
-anything is shuffled, and exactly afterwards. Items, lists and candidates are tables; joins carry no broadcast hint. The driver holds the
-bit table, the histogram (at most a few hundred rows) and totals. The k best of an item are found with Spark's limit before the exchange.
+anything is shuffled, and exactly afterwards. A round has one exchange, of the entries read and the candidates, by document; pairs of
+documents and items exist only behind it, summed up in place, and those that can't win are not written. Items are taken in blocks of about DEMANDS terms,
+which are broadcast; a block that is larger, as one item's text may be, is joined by Spark's choice. The driver holds the bit table, the
+histogram (at most a few hundred rows), totals, and the sizes of blocks. The k best of an item are found with Spark's limit before the exchange.
 
 Defined results: null and empty texts hold no terms and count for nothing; null doc_ids are documents and come first among equals;
 repeated rows are documents of their own; each row of items is an item of its own, so repeated item_ids give repeated rankings; items without terms
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopgauge.llm.common import spent, table, written
+from hopgauge.llm.common import partitions, spent, table, written
 
 #: Separators become blanks and A-Z lower case; all bytes beyond ASCII belong to terms.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -47,6 +49,8 @@ FILTER = 1 << 20
 #: The first round reads this share of all entries, each further one so many times as much.
 FIRST, GROWTH = 1 / 256, 4
 SLICE = 1 << 16
+#: Terms of the items of a block, about; blocks of up to twice as many (of some 60 bytes) are broadcast.
+DEMANDS = 1 << 16
 RESULT = "item_id long, rank int, doc_id long, score long"
 
 
@@ -133,6 +137,55 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def resolved(hits: DataFrame, demands: DataFrame, edges: list[int], k: int, small: bool) -> list[DataFrame]:
+    """Written tables (item, key, doc_id, lower) that hold the k best of each item with their scores, and perhaps some that tie. small: demands may be broadcast."""
+    sums = [f"met{e}" for e in range(1, len(edges) + 1)]
+    columns = ["item", "key", "doc_id", "lower", *sums]
+    deal = F.broadcast if small else (lambda df: df)
+    n = partitions(hits.sparkSession)
+    gain = [(F.col("times") * F.col("impact")).alias("lower"), *[F.when(F.col("last") == e, F.col("times")).otherwise(0).alias(s) for e, s in enumerate(sums, 1)]]
+    no_bar = [F.lit(None).cast("long").alias(c) for c in ("bar", "bar_id", "bar_key")]
+    open_ = written(demands.select("item").distinct().select("item", *no_bar), "open")
+    candidates = state = None
+    done: list[DataFrame] = []
+    for r, cut in enumerate(edges, 1):
+        read = hits.where(F.col("impact") >= cut)
+        read = read.where(F.col("impact") < edges[r - 2]) if r > 1 else read
+        # entries and candidates meet by document; they are few beside the pairs of documents and items, which are made and summed up behind the exchange
+        read = read.select("key", "doc_id", "term", "impact")
+        read = read.withColumn("known", F.lit(None).cast(f"struct<{', '.join(f'{c}:bigint' for c in ('item', *columns[3:]))}>"))
+        if r > 1:
+            read = read.union(candidates.select("key", "doc_id", F.lit(None).cast("string"), F.lit(None).cast("long"), F.struct("item", *columns[3:])))
+        wanted = demands.join(F.broadcast(open_) if small else open_, "item")
+        met_now = read.repartition(n, "key").join(deal(wanted.select(demands.columns)), "term", "left").where("known IS NOT NULL OR item IS NOT NULL")
+        gained = met_now.select(F.coalesce("known.item", "item").alias("item"), "key", "doc_id", *[F.coalesce(F.col(f"known.{c}"), g).alias(c) for c, g in zip(columns[3:], gain, strict=True)])
+        summed = gained.groupBy("key", "item").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in columns[3:]])
+        # what an unmet document could still reach; where one was met, an unended list reaches the cut less one
+        unread = F.when(F.col("last") > r, F.col("times") * F.least(F.lit(cut - 1), "most")).otherwise(0)
+        limits = written(wanted.groupBy("item", "bar", "bar_id", "bar_key").agg(F.sum(unread).alias("rest")), f"limits-{r}")
+        met = reduce(lambda a, b: a + b, [F.col(s) for s in sums[r:]], F.lit(0))
+        upper = F.col("lower") + F.col("rest") - (cut - 1) * met
+        behind = F.struct(F.col("doc_id").isNotNull(), "doc_id", "key") > F.struct(F.col("bar_id").isNotNull(), "bar_id", "bar_key")
+        # against the k-th candidate of the round before first, so that less is written
+        possible = F.col("bar").isNull() | (F.col("upper") > F.col("bar")) | ((F.col("upper") == F.col("bar")) & ~behind)
+        bounds = lambda rows, bars: rows.join(deal(bars), "item").withColumn("upper", upper).where(possible)  # noqa: E731, B023
+        before, state = state, written(bounds(summed, limits).select(columns), f"candidates-{r}")
+        kth = top(state, k).where(F.col("rank") == k).select("item", F.col("lower").alias("bar"), F.col("doc_id").alias("bar_id"), F.col("key").alias("bar_key"))
+        bars = written(limits.select("item", "rest").join(kth, "item", "left"), f"bars-{r}")
+        left = bounds(state, bars)
+        unsettled = left.groupBy("item").agg((F.max(F.col("upper") - F.col("lower")) > 0).alias("unsettled"))
+        taking = (F.col("rest") > 0) & (F.col("bar").isNull() | (F.col("rest") >= F.col("bar")))
+        still = bars.join(unsettled, "item", "left").where(taking | F.coalesce("unsettled", F.lit(False)))
+        old, open_ = open_, written(still.select("item", "bar", "bar_id", "bar_key"), f"open-{r}")
+        done.append(written(left.join(open_.select("item"), "item", "left_anti").select("item", "key", "doc_id", "lower"), f"done-{r}"))
+        spent(old, limits, *([before] if before is not None else []))
+        candidates = left.join(open_.select("item"), "item", "left_semi")
+        if r == len(edges) or open_.isEmpty():
+            break
+    spent(state, open_)
+    return done
+
+
 def ranked(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     """item_id, rank (from 1), doc_id, score: the k best documents of each item with a score above 0."""
     spark = docs.sparkSession
@@ -141,6 +194,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     words = written(demands.select("term").distinct(), "terms")
     documents = counted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "counts", bit_table(words))
     hits = lists(documents, words)
+    spent(documents)
     edges = cuts(hits)
     if not edges:
         return spark.createDataFrame([], RESULT)
@@ -148,44 +202,14 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     ends = hits.groupBy("term").agg(F.max("impact").alias("most"), F.min("impact").alias("least"))
     last = reduce(lambda a, b: a + b, [F.when(F.col("least") < cut, 1).otherwise(0) for cut in edges]) + 1
     demands = written(demands.join(ends, "term").select("item", "term", "times", "most", last.alias("last")), "demands")
-    sums = [f"met{e}" for e in range(1, len(edges) + 1)]
-    columns = ["item", "key", "doc_id", "lower", *sums]
-    gain = [(F.col("times") * F.col("impact")).alias("lower"), *[F.when(F.col("last") == e, F.col("times")).otherwise(0).alias(s) for e, s in enumerate(sums, 1)]]
-    status = candidates = None
-    done: list[DataFrame] = []
-    for r, cut in enumerate(edges, 1):
-        read = hits.where(F.col("impact") >= cut)
-        if r == 1:
-            gained = read.join(demands, "term").select("item", "key", "doc_id", *gain)
-        else:
-            read = read.where(F.col("impact") < edges[r - 2])
-            taking = demands.join(status.where("taking").select("item"), "item", "left_semi")
-            fixed = candidates.where("not taking").select("item", "key")
-            gained = read.join(taking, "term").select("item", "key", "doc_id", *gain)
-            gained = gained.union(read.join(fixed, "key").join(demands, ["item", "term"]).select("item", "key", "doc_id", *gain)).union(candidates.select(columns))
-        state = written(gained.groupBy("item", "key").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in columns[3:]]), f"candidates-{r}")
-        # by item: what an unmet document could still reach, and the k-th candidate
-        unread = F.when(F.col("last") > r, F.col("times") * F.least(F.lit(cut - 1), "most")).otherwise(0)
-        bars = demands.groupBy("item").agg(F.sum(unread).alias("rest"))
-        bars = bars if r == 1 else bars.join(status.select("item"), "item", "left_semi")
-        kth = top(state, k).where(F.col("rank") == k).select("item", F.col("lower").alias("bar"), F.col("doc_id").alias("bar_id"), F.col("key").alias("bar_key"))
-        bars = bars.join(kth, "item", "left").withColumn("taking", (F.col("rest") > 0) & (F.col("bar").isNull() | (F.col("rest") >= F.col("bar"))))
-        bars = written(bars, f"bars-{r}")
-        # candidates that can still be among the k best; where one was met, an unended list reaches the cut less one
-        met = reduce(lambda a, b: a + b, [F.col(s) for s in sums[r:]], F.lit(0))
-        bounds = state.join(bars, "item").withColumn("upper", F.col("lower") + F.col("rest") - (cut - 1) * met)
-        behind = F.struct(F.col("doc_id").isNotNull(), "doc_id", "key") > F.struct(F.col("bar_id").isNotNull(), "bar_id", "bar_key")
-        bounds = bounds.where(F.col("bar").isNull() | (F.col("upper") > F.col("bar")) | ((F.col("upper") == F.col("bar")) & ~behind))
-        unsettled = bounds.groupBy("item").agg((F.max(F.col("upper") - F.col("lower")) > 0).alias("unsettled"))
-        status = bars.select("item", "taking").join(unsettled, "item", "left").where(F.col("taking") | F.coalesce("unsettled", F.lit(False)))
-        status = written(status.select("item", "taking"), f"open-{r}")
-        done.append(bounds.join(status, "item", "left_anti").select("item", "key", "doc_id", "lower"))
-        candidates = bounds.join(status.select("item"), "item", "left_semi")
-        if r == len(edges) or status.isEmpty():
-            break
+    # items in blocks whose terms may be broadcast, about
+    n = -(-demands.count() // DEMANDS)
+    block = F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")
+    sizes = dict(demands.groupBy(block).count().collect())  # a row for each block
+    done = [d for b, size in sizes.items() for d in resolved(hits, demands.where(block == b), edges, k, size <= 2 * DEMANDS)]
     final = top(reduce(DataFrame.union, done), k).join(asked.select(F.col("key").alias("item"), F.col("id").alias("item_id")), "item")
     out = written(final.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.col("lower").alias("score")), "ranking")
-    spent(asked, words, documents, hits, demands)
+    spent(asked, words, hits, demands, *done)
     return out
 
 

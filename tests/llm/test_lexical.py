@@ -51,7 +51,12 @@ def test_terms():
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_tables(spark, seed):
+def test_random_tables(spark, monkeypatch, seed):
+    if seed == 1:
+        monkeypatch.setattr(lexical, "DEMANDS", 60)  # several blocks of items
+    if seed == 2:
+        real = lexical.resolved
+        monkeypatch.setattr(lexical, "resolved", lambda *a: real(*a[:-1], False))  # too large to be broadcast
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(60)]
     weights = [1 / (k + 1) for k in range(60)]
