@@ -1,8 +1,8 @@
 """Keyed surrogates for personal data, with DataFrame and SQL functions only.
 
-Detected are e-mail addresses (letters of any script), telephone numbers (international ones behind a +, 3-3-4 and five pairs of digits), payment cards
+Detected are e-mail addresses (letters of any script), telephone numbers (international ones behind a +, 3-3-4, five pairs of digits, and local ones of an area code from 0 and five to eight digits), payment cards
 (4-4-4-4, 4-6-5, and 13 to 19 digits with a right check digit), IBANs, social security numbers (3-2-4), IPv4 and IPv6 addresses, secrets behind a name such as
-``token =`` or with a known beginning such as AKIA or ghp_, personal names behind a title, and later or earlier bare mentions of such a name in the same text.
+``token =`` up to their quote or white space, or with a known beginning such as AKIA or ghp_, personal names behind a title up to a word that begins sentences, and later or earlier bare mentions of such a name in the same text.
 Other names, postal addresses and numbers without these forms are not. A surrogate depends on the key, the kind and the normalized value alone, so that all
 mentions of one entity, in whatever spelling, get the same one (coreference), in every document and run with the same key:
 
@@ -17,8 +17,9 @@ mentions of one entity, in whatever spelling, get the same one (coreference), in
   Bo" and a bare "Bo" still agree; all in the script of the old name (Latin, Cyrillic, Greek).
 
 Permutations cannot collide, and no value is its own surrogate. They share their space with the real values, so that a number's surrogate may be another
-real number. Keyed words (parts of names, of e-mails, secrets) are checked over the whole corpus: a word's surrogate must differ from all words that occur
-there and from all other surrogates. Only those that do not get a word of the next attempt, again and again until none is left; words of later attempts are
+real number. Keyed words (parts of names, of e-mails, secrets) are checked over the whole corpus as they will be written, with ending, script and domain: the
+surrogate of a part of a name must differ from every capitalized word of the corpus, detected or not, those of addresses and secrets from the real ones, and
+all from each other. Only those that do not get a word of the next attempt, again and again until none is left; words of later attempts are
 longer, so this ends. What had to move (few: of n words about n squared / 2^37) is looked up by the texts that hold such words: as a map in
 one row if there are at most FEW, else by a join on the words of each text. Texts without an entity are never joined or shuffled.
 
@@ -47,23 +48,41 @@ TITLES = {"m": "Mr Herr Monsieur Señor Sr Господин Κύριος", "f":
 _ANY_TITLE = "|".join(sorted(" ".join(TITLES.values()).split(), key=len, reverse=True))
 _FIRST = "".join(sorted({t[0] for t in " ".join(TITLES.values()).split()}))
 _HEX = "[0-9A-Fa-f]{1,4}"
+#: Words that begin sentences or stand between names, and are no names (fixed values).
+NO_NAMES = (
+    "A After All Also An And Are As At Before But By Can Could Did Do Each Every For From Had Has Have He Her Here His How However If In Is It Its Later Many Most My No Not Now Of On One Or Our She Since So Some Such "
+    "That The Their Then There These They This Those Through To Today Was We Were What When Where Which While Who Why Will With Would Yesterday Yet You Your "
+    "Aber Als Am Auch Auf Aus Bei Bis Da Dann Das Dem Den Denn Der Die Dies Diese Dieser Doch Ein Eine Er Es Für Haben Hat Ich Ihr Im Ist Mit Nach Nicht Noch Nur Oder Sein Seit Sie Sind Und Vom Von Vor War Was Wenn Wer Wie Wir Wo Zu Zum Zur "
+    "Au Aux Avec Ce Ces Cette Dans De Des Du Elle En Et Il Ils Je La Le Les Mais Nous Ou Par Pas Pour Que Qui Sa Sans Son Sur Un Une Vous "
+    "Con Cuando Del Desde El Ella Ellos Entre Era Esta Este Fue Hay Las Lo Los Muy Para Pero Por Porque Se Según Sin Sobre Su También Una Y Ya Yo "
+    "А Без Бы Был Быть В Вот Все Вы Где Да Для До Его Если Ее Же За И Из Или Их К Как Когда Кто Мы На Не Но О Он Она Они От По При С Так То Только Ты У Что Это Я Η Και Με Να Ο Οι Στη Στο Τα Τη Της Το Του Των"
+).split()
+_NO_NAME = rf"(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}'-]))"
+#: Countries whose IBANs are found in lower case, too (fixed values).
+_LOWER_IBAN = "at|be|bg|ch|cy|cz|de|dk|ee|es|fi|fr|gb|gr|hr|hu|ie|is|it|li|lt|lu|lv|mt|nl|no|pl|pt|ro|se|si|sk"
 #: Beginnings of secrets that stay (fixed values).
 KNOWN_SECRET = "AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|xox[abprs]-|sk-"
 #: Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
+    # what stands behind the name up to its quote or white space, without a sentence's last sign; behind a colon only with a digit or sign in it
+    "secret": (
+        rf"""(?<=["'=: ])(?<=[=:]\s{{0,2}}["']?)(?<=(?i:token|secret|password|passwd|pwd|api_?key|access_?key)["']?\s{{0,2}}[=:]\s{{0,2}}["']?)(?!["'\s])"""
+        rf"""(?:(?<==\s{{0,2}}["']?)|(?=[^\s"'<>]*[^\p{{L}}\s"'<>.,;:!?)\]}}]))[^\s"'<>]{{3,}}(?<![.,;:!?)\]}}])"""
+    ),
     "email": r"(?=[\p{L}\p{N}._%+-])(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": rf"""(?<=["'=: ])(?<=[=:]\s{{0,2}}["']?)(?<=(?i:token|secret|password|passwd|api_?key|access_?key)["']?\s{{0,2}}[=:]\s{{0,2}}["']?)[A-Za-z0-9_+/-]{{8,}}""",
     "known": rf"(?=[AgSsx])\b(?:{KNOWN_SECRET})[A-Za-z0-9_-]{{16,}}",
-    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv6": rf"(?=[0-9A-Fa-f])(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])" + rf"|(?=[a-z])(?<![A-Za-z0-9])(?:{_LOWER_IBAN})\d{{2}}(?: ?[a-z0-9]{{4}}){{2,7}}(?: ?[a-z0-9]{{1,3}})?(?![A-Za-z0-9])",
+    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::(?:{_HEX}:){{0,5}}{_HEX}))(?![\w:])",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "card": r"(?=\d)(?<!\d)(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?=[\d+(])(?<!\d)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}|0\d(?:[ .-]\d{2}){4})(?!\d)",
-    "name": rf"(?=[{_FIRST}])\b(?:{_ANY_TITLE})\b\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,3}}",
+    "phone": r"(?=[\d+(])(?<!\d)(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}|0\d(?:[ .-]\d{2}){4}|0\d{1,4}[ /-]\d{5,8})(?!\d)",
+    "name": rf"(?=[{_FIRST}])\b(?:{_ANY_TITLE})\b\.? {_NO_NAME}\p{{Lu}}[\p{{L}}'-]+(?: {_NO_NAME}\p{{Lu}}[\p{{L}}'-]+)*+",
 }
 _CONSONANTS, _VOWELS = "bdfgklmnprstvzhj", "aeio"
 _CYRILLIC, _GREEK = "бдфгклмнпрствзхйаеио", "βδφγκλμνπρστψζχξαειο"
+#: Words that a keyed name could be: all others of a corpus need no look.
+FORM = "|".join(rf"^(?:[{a[:16]}][{a[16:]}]){{4,}}(?:{a[7]}|{a[7]}{a[16]}|{a[10]})?$" for a in (_CONSONANTS + _VOWELS, _CYRILLIC, _GREEK))
 
 
 def kind_of(entity: Column) -> Column:
@@ -71,7 +90,7 @@ def kind_of(entity: Column) -> Column:
     whole = lambda k: entity.rlike(f"^(?:{PATTERNS[k]})$")
     digits = F.regexp_replace(entity, "[^0-9]", "")
     real = (F.length(digits) == 16) | (check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)).cast("string") == F.substring(digits, F.length(digits), F.lit(1)))
-    kinds = F.when(entity.contains("@"), "email")
+    kinds = F.when(entity.contains("@") & whole("email"), "email")
     for k in ("iban", "ipv6", "ip", "ssn"):
         kinds = kinds.when(whole(k), k)
     return kinds.when(whole("card"), F.when(real, "card").otherwise("none")).when(whole("phone"), "phone").when(whole("name"), "name").otherwise("secret")
@@ -80,7 +99,7 @@ def kind_of(entity: Column) -> Column:
 def normal(kind: Column, entity: Column) -> Column:
     """The value that all spellings of an entity share."""
     digits = F.regexp_replace(entity, "[^0-9]", "")
-    plain = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
+    plain = F.when(kind.isin("email", "ipv6"), F.lower(entity)).when(kind.isin("card", "phone", "ssn"), digits).when(kind == "iban", F.upper(F.replace(entity, F.lit(" "), F.lit(""))))
     return plain.when(kind == "name", F.regexp_replace(entity, r"^(\S+?)\.? ", "$1 ")).otherwise(entity)
 
 
@@ -159,7 +178,11 @@ class Keyed:
         mixed = F.regexp_replace(F.array_join(F.transform(blocks, lambda i: F.base64(F.unhex(self.hex("secret", old, k, i)))), ""), "[+/=]", "x")
         rest = F.substring(old, F.length(known) + 1, F.length(old))
         chars = F.when(rest.rlike("^[0-9a-f]+$"), hexed).when(rest.rlike("^[0-9A-F]+$"), F.upper(hexed)).when(rest.rlike("^[0-9A-Z]+$"), F.upper(mixed)).otherwise(mixed)
-        return F.concat(known, F.substring(chars, F.lit(1), size))
+        made = F.concat(known, F.substring(chars, F.lit(1), size))
+        # signs such as the dots of a web token stay in their places
+        at = lambda x, i: F.substring(x, i, F.lit(1))
+        signs = let(made, lambda m: F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.when(at(old, i).rlike("[^A-Za-z0-9_+/-]"), at(old, i)).otherwise(at(m, i))), ""))
+        return F.when(rest.rlike("[^A-Za-z0-9_+/-]") & rest.rlike("[A-Za-z0-9]"), signs).otherwise(made)
 
 
 def check_digit(payload: Column) -> Column:
@@ -226,8 +249,9 @@ def surrogate(entity: Column, keyed: Keyed) -> Column:
         numbers = F.regexp_replace(rest, "[^0-9]", "")
         fresh = F.when(F.length(numbers) >= 2, refilled(rest, keyed.last_digits("iban", numbers, F.least(F.length(numbers), F.lit(12))))).otherwise(rest)
         made = let(fresh, lambda f: F.concat(country, F.lpad((F.pmod(iban_check(country, f) + check - iban_check(country, rest) - 2, F.lit(97)) + 2).cast("string"), 2, "0"), f))
-        # spaces stand where they stood
-        return let(made, lambda m: F.when(entity.contains(" "), F.regexp_replace(m, "(.{4})(?=.)", "$1 ")).otherwise(m))
+        # spaces stand where they stood, and letters are as large
+        sized = let(made, lambda m: F.when(entity.rlike("[a-z]"), F.lower(m)).otherwise(m))
+        return let(sized, lambda m: F.when(entity.contains(" "), F.regexp_replace(m, "(.{4})(?=.)", "$1 ")).otherwise(m))
 
     def address(octets: Column) -> Column:
         byte = lambda i: F.get(octets, F.lit(i)).try_cast("int")
@@ -243,10 +267,11 @@ def surrogate(entity: Column, keyed: Keyed) -> Column:
         groups = F.when(old.contains("::"), F.concat(left, F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right)), right)).otherwise(left)
 
         def made(g: Column) -> Column:
+            first = F.when(F.get(g, F.lit(0)) == "", "0").otherwise(F.get(g, F.lit(0)))  # of ::1
             half = lambda a, b, c: F.conv(F.concat(*[F.lpad(F.get(g, F.lit(i)), 4, "0") for i in (a, b, c)]), 16, 10).cast("long")
             pair = keyed.permuted("ipv6", half(2, 3, 4), half(5, 6, 7), F.lit(1 << 48), F.lit(1 << 48))
             text = let(pair, lambda p: F.lower(F.concat(F.lpad(F.hex(p["a"]), 12, "0"), F.lpad(F.hex(p["b"]), 12, "0"))))
-            return let(text, lambda t: F.concat_ws(":", F.get(g, F.lit(0)), F.get(g, F.lit(1)), *[F.substring(t, 4 * i + 1, 4) for i in range(6)]))
+            return let(text, lambda t: F.concat_ws(":", first, F.get(g, F.lit(1)), *[F.substring(t, 4 * i + 1, 4) for i in range(6)]))
 
         return let(groups, made)
 
@@ -259,14 +284,13 @@ def surrogate(entity: Column, keyed: Keyed) -> Column:
     def name(parts: Column) -> Column:
         of = gender(F.regexp_replace(F.get(parts, F.lit(0)), r"\.$", ""))
         n = F.size(parts)
-        ending = F.when(of == "m", "n").when(of == "f", "na").otherwise("s")
-        given = lambda w: scripted(F.initcap(F.concat(keyed.word("given", F.concat(of, F.lower(w))), ending)), w)
+        given = lambda w: scripted(F.initcap(F.concat(keyed.word("given", F.concat(of, F.lower(w))), ending(of))), w)
         every = F.transform(parts, lambda w, i: F.when(i == 0, w).when(i == n - 1, scripted(F.initcap(keyed.word("family", F.lower(w))), w)).otherwise(given(w)))
         return F.array_join(every, " ")
 
     def of_kind(k: Column) -> Column:
         made = F.when(k == "card", let(only, card)).when(k == "phone", let(only, phone)).when(k == "ssn", let(only, lambda o: refilled(entity, keyed.digits("ssn", o))))
-        made = made.when(k == "ip", let(F.split(entity, r"\."), address)).when(k == "ipv6", let(F.lower(entity), ipv6)).when(k == "iban", let(F.replace(entity, F.lit(" "), F.lit("")), iban))
+        made = made.when(k == "ip", let(F.split(entity, r"\."), address)).when(k == "ipv6", let(F.lower(entity), ipv6)).when(k == "iban", let(F.upper(F.replace(entity, F.lit(" "), F.lit(""))), iban))
         return made.when(k == "email", let(F.lower(entity), email)).when(k == "name", let(F.split(entity, " "), name)).when(k == "none", entity).otherwise(keyed.word("secret", entity))
 
     return let(kind_of(entity), of_kind)
@@ -290,7 +314,7 @@ def pattern_of(text: Column) -> Column:
     def of(digit: Column) -> Column:
         signed = text.contains("=") | text.contains(":")
         needs = {
-            "email": text.contains("@"), "secret": signed & _any_of(F.lower(text), ["token", "secret", "passw", "key"]), "known": _any_of(text, KNOWN_SECRET.replace("[abprs]-", "").split("|")),
+            "secret": signed & _any_of(F.lower(text), ["token", "secret", "passw", "pwd", "key"]), "email": text.contains("@"), "known": _any_of(text, KNOWN_SECRET.replace("[abprs]-", "").split("|")),
             "iban": digit & text.rlike("[A-Z]{2}[0-9]{2}"), "ipv6": digit & (text.contains("::") | text.rlike("[0-9a-fA-F]:[0-9a-fA-F]{1,4}:")),
             "ip": digit & text.rlike(r"[0-9]\.[0-9]"), "card": digit & text.rlike("[0-9]{4}"), "ssn": digit & text.rlike("-[0-9]{2}-"), "phone": digit, "name": may_name(text),
         }
@@ -331,6 +355,29 @@ def detected(text: Column) -> Column:
     return let(pattern_of(text), lambda p: entities(text, p))
 
 
+def ending(gender: Column) -> Column:
+    """What given names end with."""
+    return F.when(gender == "m", "n").when(gender == "f", "na").otherwise("s")
+
+
+def written_form(kind: Column, word: Column, new: Column) -> Column:
+    """What a word's surrogate (as ``made`` gives it) looks like in a text, in lower case: with its ending, in its script, with its domain."""
+    given = scripted(F.concat(F.substring(new, F.lit(2), F.length(new)), ending(F.substring(word, 1, 1))), F.substring(word, F.lit(2), F.length(word)))
+    domain = F.concat(new, F.lit(".example."), F.substring_index(word, ".", -1))
+    return F.when(kind == "given", given).when(kind == "family", scripted(new, word)).when(kind == "domain", domain).otherwise(new)
+
+
+def real_words(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """kind, form: what stands in the corpus that looks like a surrogate: capitalized words for names, whether they are detected as such or not, local parts and domains of addresses, secrets."""
+    text = F.col("text").cast("string")
+    capital = docs.where(text.isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}'-])\p{Lu}[\p{L}'-]+"), F.lit(0)))).alias("form"))
+    capital = capital.select(F.lower("form").alias("form")).where(F.col("form").rlike(FORM)).distinct()
+    names = capital.select(F.explode(F.array(F.lit("given"), F.lit("family"))).alias("kind"), "form")
+    local = F.regexp_replace(F.substring_index("word", "@", 1), "[._-]?[0-9]+$", "")
+    others = words.where(F.col("kind").isin("mail", "domain", "secret")).select("kind", F.when(F.col("kind") == "mail", local).otherwise(F.col("word")).alias("form"))
+    return names.union(others).distinct()
+
+
 def moved_words(docs: DataFrame, key: str) -> DataFrame:
     """word (kind|word), attempt of the words that cannot have the surrogate of attempt 0; a written table."""
     keyed = Keyed(key)
@@ -346,14 +393,14 @@ def moved_words(docs: DataFrame, key: str) -> DataFrame:
         return out
 
     settled = written(words.select("kind", "word", F.lit(0).alias("attempt"), made(F.lit(0)).alias("new")), "words")
+    real = written(real_words(docs, settled), "real")
     attempt = 0
     while True:
         # of those with one surrogate the first stays; all go whose surrogate is a word of the corpus
         first = F.struct("attempt", F.xxhash64("word"), "word")
         ranks = settled.groupBy("kind", "new").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
         bad = settled.join(ranks.where("n > 1"), ["kind", "new"]).where("word <> first.word").select("kind", "word")
-        real = settled.select("kind", "word").alias("a").join(settled.select("kind", F.col("new").alias("word")).distinct(), ["kind", "word"], "left_semi")
-        taken = settled.join(real.select("kind", F.col("word").alias("new")), ["kind", "new"], "left_semi").select("kind", "word")
+        taken = settled.withColumn("form", written_form(F.col("kind"), F.col("word"), F.col("new"))).join(real, ["kind", "form"], "left_semi").select("kind", "word")
         bad = written(bad.unionByName(taken).distinct(), "bad")
         if bad.isEmpty():
             spent(bad)
@@ -364,7 +411,7 @@ def moved_words(docs: DataFrame, key: str) -> DataFrame:
         spent(settled, bad)
         settled = after
     moved = written(settled.where("attempt > 0").select(F.concat_ws("|", "kind", "word").alias("word"), "attempt"), "moved")
-    spent(settled)
+    spent(settled, real)
     return moved
 
 

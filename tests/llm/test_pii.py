@@ -77,6 +77,7 @@ def test_colliding_words_move_one_by_one(spark, monkeypatch, few):
         return pii.let(self.attempt(kind, value) if attempt is None else attempt, made)
 
     monkeypatch.setattr(pii, "FEW", few)
+    monkeypatch.setattr(pii, "FORM", ".")
     monkeypatch.setattr(pii.Keyed, "word", narrow)
     texts = [f"Mr. Quin{chr(97 + k % 26)}{chr(97 + k // 26)} met Mrs. Xa Quin{chr(97 + (k + 1) % 26)}{chr(97 + (k + 1) // 26)}" for k in range(60)] + ["nobody", None]
     df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, m int")
@@ -165,3 +166,38 @@ def test_query_leaves_no_detected_value(spark):
         changed += len(found)
         assert pattern.sub("", old[r.doc_id]) == pattern.sub("", r.text)
     assert changed > 50
+
+
+def test_surrogates_are_checked_as_they_are_written(spark):
+    """Names that stand in the corpus with the ending, or in the script, of a surrogate; detected or not."""
+    first = replaced(spark, ["Mr. John Smith", "Господин Иван Петров", "Frau Anna Weber"])
+    new = [re.findall(r"\w+", first[k].text)[1:] for k in range(3)]
+    taken = [w for ws in new for w in ws]
+    got = replaced(spark, ["Mr. John Smith", "Господин Иван Петров", "Frau Anna Weber", " ".join(f"Here {w} stood." for w in taken), f"Mr. {taken[0]} Zimmer"])
+    again = [w for k in range(3) for w in re.findall(r"\w+", got[k].text)[1:]]
+    assert len(again) == 6 and not set(again) & set(taken)
+
+
+def test_secrets_up_to_their_end(spark):
+    texts = ["token=aaa.bbb.ccc next", "password: Hunter2!abc$def end", "password=short1", 'api_key = "a b"', "The secret: be kind, and the password: none.", "passwd: 'x9$'; token=\"q.w-e\"", "password=p@ss.word1, then", "the token = x"]
+    got = {k: r for k, r in replaced(spark, texts).items()}
+    assert [got[k].n_entities for k in range(8)] == [1, 1, 1, 0, 0, 2, 1, 0]
+    assert re.fullmatch(r"token=\w{3}\.\w{3}\.\w{3} next", got[0].text) and "aaa" not in got[0].text
+    assert re.fullmatch(r"password: \w{7}!\w{3}\$\w{3} end", got[1].text) and "Hunter2" not in got[1].text
+    assert re.fullmatch(r"password=\w{6}", got[2].text) and "short1" not in got[2].text
+    assert got[6].text.endswith(", then") and "p@ss.word1" not in got[6].text
+
+
+def test_local_phones_small_ibans_and_short_addresses(spark):
+    got = replaced(spark, ["call 030 1234567 or 089/1234567 now", "iban de89370400440532013000 and de89 3704 0044 0532 0130 00, DE89370400440532013000", "at ::1 or std::1x, a::b"])
+    assert got[0].n_entities == 2 and re.fullmatch(r"call 0\d\d \d{7} or 0\d\d/\d{7} now", got[0].text) and "1234567" not in got[0].text
+    ibans = [x.replace(" ", "").upper() for x in re.findall(r"de\d{20}|de\d\d(?: \d{4}){4} \d\d|DE\d{20}", got[1].text)]
+    assert len(ibans) == 3 and len(set(ibans)) == 1 and iban_ok(ibans[0]) and ibans[0] != "DE89370400440532013000"
+    assert got[2].n_entities == 1 and "::1 " not in got[2].text and "std::1x, a::b" in got[2].text
+
+
+def test_names_end_before_words_that_begin_sentences(spark):
+    got = replaced(spark, ["We met Mr Smith The Company said so. The law. The Company fell.", "Dr. Maria Anna Luisa Clara Elena Weber Die Firma", "Mr The"])
+    assert re.fullmatch(r"We met Mr \w+ The Company said so\. The law\. The Company fell\.", got[0].text) and "Smith" not in got[0].text
+    assert re.fullmatch(r"Dr\. (?:\w+ ){6}Die Firma", got[1].text) and not re.search("Maria|Clara|Weber", got[1].text)
+    assert got[2].n_entities == 0
