@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from hopgauge.jobs import satellite
 from hopgauge.operators import blocks, geo, quality, rain
-from hopgauge.sources import arrays, scenes, sinks
+from hopgauge.sources import arrays, cubes, scenes, sinks
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
     sub = p.add_subparsers(dest="job", required=True)
     qc = sub.add_parser("qc", help="quality flags of links")
-    for name in ("--samples", "--links", "--sublinks"):
-        qc.add_argument(name, required=True)
+    qc.add_argument("--samples", required=True, help="table, or an array file of signals (NPZ, or NetCDF where its library is there), which has links and sublinks, too")
+    for name in ("--links", "--sublinks"):
+        qc.add_argument(name, help="table")
     qc.add_argument("--proc-line", choices=quality.PROC_LINES, default="full")
     qc.add_argument("--strict", action="store_true", help="complete windows only, gaps by time")
     qc.add_argument("--first-links", type=int, default=0)
@@ -44,13 +45,17 @@ def main(args: list[str] | None = None) -> None:
     a = p.parse_args(args)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "qc":
-        links = spark.read.parquet(a.links)
-        samples = spark.read.parquet(a.samples)
+        if a.samples.endswith((".npz", ".nc")):
+            samples, links, sublinks = cubes.read(spark, a.samples)
+        elif a.links and a.sublinks:
+            samples, links, sublinks = (spark.read.parquet(x) for x in (a.samples, a.links, a.sublinks))
+        else:
+            raise SystemExit("a table of samples needs --links and --sublinks")
         if a.first_links:
             samples = quality.first_links(samples, links, a.first_links)
         config, began = quality.Config(a.proc_line, a.strict), time.time()
         coefficient = rain.regression if a.regression else quality.attenuation
-        given = samples, links.select("cml_id", "length_km"), spark.read.parquet(a.sublinks), config, coefficient
+        given = samples, links.select("cml_id", "length_km"), sublinks, config, coefficient
         found = blocks.run(*given, rows=a.block_rows) if a.block_rows else quality.run(*given)
         computed = None
         if a.time_save_apart:
