@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hopgauge.functions.cftime import cf_time
 from hopgauge.functions.columns import SERIES, gigahertz, gigahertz_of_table
 from hopgauge.jobs import fixtures as fx
 from hopgauge.jobs import satellite
@@ -246,6 +247,23 @@ def mth_rain_regression(spark: SparkSession, d: str) -> DataFrame:
     return s.select("pos", F.round(k, 9).alias("k"), F.round(a, 9).alias("a"), F.round(rain.rain_rate(F.lit(1.0), F.col("length_km"), f, p), 6).alias("rain_rate"))
 
 
+#: Units and calendars by kind of event of the query below.
+_CLOCKS = {"click": ("seconds since 2024-01-01 00:00:00", "standard"), "error": ("hours since 2023-12-31T12:00Z", "gregorian"), "purchase": ("days since 2024-2-1 +06:00", "noleap"), "signup": ("minutes since 2000-01-01", "proleptic_gregorian"), "view": ("days since 2024-01-30", "360_day")}
+
+
+def src_cf_time(spark: SparkSession, d: str) -> DataFrame:
+    """Times from numbers with units and calendars, by kind of event."""
+    kind = lambda k: F.create_map(*[F.lit(x) for name, v in _CLOCKS.items() for x in (name, v[k])])[F.col("event_type")]
+    time = cf_time(F.round(F.col("value") * 8).cast("long") / 8.0, kind(0), kind(1))
+    return fx.table(spark, d, "events").where(F.col("event_type").isin(*_CLOCKS)).select("event_id", time.cast("timestamp_ntz").alias("time"))
+
+
+def qc_samples(spark: SparkSession, d: str) -> DataFrame:
+    """What the job returns of samples and says about its processing line."""
+    got = quality.run(_samples(spark, d), fx.links(spark, d), fx.sublinks(spark, d), quality.Config("graf_2020")).samples
+    return _double(got.select(*SERIES, "idx", "isSane_plateaus_rsl", "flag_blackout_fill", "trsl", "proc_line"), "trsl")
+
+
 def flt_first_links(spark: SparkSession, d: str) -> DataFrame:
     s = fx.statics(spark, d)
     return quality.first_links(s.withColumn("cml_id", F.col("pos")), s.select(F.col("pos").alias("cml_id"), "pos"), 10).select("cml_id", "length_km", "frequency")
@@ -439,6 +457,17 @@ SELECT count(*) AS n_scenes, count(*) - count(error) AS n_written, count(error)
     "qc_blocks": (qc_blocks, _FULL[1]),
     "win_blocks": (win_blocks, f"""{_chain('full')} SELECT {KEY}, sane AS "isSane_plateaus_rsl", flag AS flag_blackout_fill, {_rounded('tsl', 'rsl', 'trsl')} FROM processed"""),
     "mth_rain_regression": (mth_rain_regression, _RAIN),
+    "src_cf_time": (src_cf_time, """WITH e AS (SELECT event_id, event_type, round(value * 8) / 8 AS v FROM events), t AS (
+  SELECT event_id, CASE event_type WHEN 'click' THEN TIMESTAMP '2024-01-01 00:00:00' + to_microseconds(CAST(v * 1000000 AS BIGINT)) WHEN 'error' THEN TIMESTAMP '2023-12-31 12:00:00' + to_microseconds(CAST(v * 3600000000 AS BIGINT))
+    WHEN 'signup' THEN TIMESTAMP '2000-01-01 00:00:00' + to_microseconds(CAST(v * 60000000 AS BIGINT)) END AS plain,
+    CASE event_type WHEN 'purchase' THEN 31 * 86400000000 - 21600000000 + CAST(v * 86400000000 AS BIGINT) WHEN 'view' THEN 29 * 86400000000 + CAST(v * 86400000000 AS BIGINT) END AS us, event_type FROM e WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view')
+), p AS (SELECT *, CASE event_type WHEN 'purchase' THEN 365 WHEN 'view' THEN 360 END AS n, CAST(floor(us / 86400000000) AS BIGINT) AS days FROM t
+), q AS (SELECT *, CAST(floor(days / n) AS BIGINT) AS years, days - n * CAST(floor(days / n) AS BIGINT) AS rest FROM p
+), r AS (SELECT *, CASE WHEN n = 365 THEN make_timestamp(CAST(epoch_us(TIMESTAMP '2023-01-01 00:00:00') + rest * 86400000000 AS BIGINT)) END AS label FROM q)
+SELECT event_id, CASE WHEN plain IS NOT NULL THEN plain
+  WHEN n = 365 THEN make_timestamp(2024 + years, month(label), day(label), 0, 0, 0) + to_microseconds(us - days * 86400000000)
+  WHEN rest % 30 + 1 <= day(last_day(make_date(2024 + years, rest // 30 + 1, 1))) THEN make_timestamp(2024 + years, rest // 30 + 1, rest % 30 + 1, 0, 0, 0) + to_microseconds(us - days * 86400000000) END AS time FROM r"""),
+    "qc_samples": (qc_samples, f"""{_chain('graf_2020')} SELECT {KEY}, sane AS "isSane_plateaus_rsl", flag AS flag_blackout_fill, {_rounded('trsl')}, 'graf_2020' AS proc_line FROM processed"""),
     "flt_first_links": (flt_first_links, f"WITH {fx.STATICS} SELECT pos AS cml_id, length_km, frequency FROM statics ORDER BY pos LIMIT 10"),
     "geo_edges": (geo_edges, """WITH c AS (SELECT DISTINCT p_size, p_retailprice::DOUBLE AS c FROM part), n AS (
   SELECT *, row_number() OVER w - 1 AS k, lag(c) OVER w AS a, lead(c) OVER w AS b, lag(c, 2) OVER w AS a2, count(*) OVER (PARTITION BY p_size) AS n FROM c WINDOW w AS (PARTITION BY p_size ORDER BY c)

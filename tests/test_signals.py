@@ -192,3 +192,33 @@ def test_one_exchange_for_all_windows(spark):
     df = quality.process_samples(series(spark, [-50.0, None, -70.0] * 5))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_levels_are_compared_as_floats(spark):
+    """-65.0000001 is -65 as a float, which is not below -65."""
+    df = series(spark, [-65.0000001, None, -65.0000001])
+    assert column(gaps.with_blackouts(df, "rsl"), "flag_blackout_fill") == [False] * 3
+    df = series(spark, [-65.00001, None, -60.0])
+    assert column(gaps.with_blackouts(df, "rsl"), "flag_blackout_fill") == [False, True, False]
+
+
+def test_rolling_maximum_keeps_infinities(spark):
+    inf = math.inf
+    df = series(spark, [-inf, -inf, None, None, -inf, inf, -60.0, None, None, None, -70.0])
+    assert column(df.withColumn("x", rolling.rolling_max(F.col("rsl"), 3)), "x") == [-inf, -inf, -inf, -inf, inf, inf, inf, -60, None, -70, -70]
+    steady = quality.with_plateaus(series(spark, [-inf] * 9), "rsl")  # no finite value, no deviation: no plateau
+    assert all(column(steady, "isSane_plateaus_rsl"))
+
+
+def test_even_windows_lie_half_before_and_half_less_one_after(spark):
+    values = [5.0, 1.0, 2.0, 9.0, 3.0, 4.0]
+    want = [max(values[max(0, k - 2) : k + 2]) for k in range(6)]
+    assert column(series(spark, values).withColumn("x", rolling.rolling_max(F.col("rsl"), 4)), "x") == want
+    strict = column(series(spark, values).withColumn("x", rolling.rolling_max(F.col("rsl"), 4, True)), "x")
+    assert strict == [None, None, *want[2:5], None]
+
+
+def test_windows_with_any_value_are_valid_even_if_their_deviation_overflows(spark):
+    df = series(spark, [3e38, -3e38, None, None, None, 1.0])
+    got = quality.rolling_counts(df, "rsl", {"w": (2, 1.0)}).first()
+    assert (got.w_valid, got.w_high) == (4, 1)
