@@ -45,3 +45,11 @@ def test_query_over_the_fixed_conversation(spark):
     assert (got.n_turns, got.loss_chars) == (2, len(text))
     assert got.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert got.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_very_long_texts(spark):
+    """A million characters, and a thousand turns of one conversation."""
+    rows = [(1, 0, "user", "<|\\ x" * 200_000), (1, 1, "assistant", "y" * 300_000 + chat.END)] + [(2, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(1000)]
+    got = {r.conv_id: r for r in formatted(spark, rows).collect()}
+    assert [tuple(t) for t in got[1].turns] == [r[2:] for r in rows[:2]] and got[1].loss == rows[1][3]
+    assert [tuple(t) for t in got[2].turns] == [r[2:] for r in rows[2:]]

@@ -80,3 +80,15 @@ def test_one_hot_length(spark, copies):
     df = spark.range(copies).selectExpr("id AS doc_id", "'' AS text")
     got = packing.pack_documents(df).collect()
     assert packing.check_plan([(r.sequence_id, r.offset, r.length) for r in got], 2048) == -(-copies // 2048)
+
+
+def test_very_long_text(spark):
+    """1.6 million characters are encoded as a whole, as the library does, and cut into full pieces."""
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"w{k % 977}x{k % 13}" for k in range(200_000))
+    ids = Tokenizer.from_file(packing.default_tokenizer()).encode(text, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, text), (2, "short"), (None, None)], "doc_id long, text string")
+    rows = sorted((r for r in packing.pack_documents(df).collect() if r.doc_id == 1), key=lambda r: r.piece)
+    assert sum(r.length for r in rows) == len(ids) + 1 and [r.start for r in rows] == [2048 * k for k in range(len(rows))]
+    assert all(r.length == 2048 for r in rows[:-1]) and rows[3].ids_crc32 == zlib.crc32(np.array(ids[3 * 2048 : 4 * 2048], "<u4").tobytes())
