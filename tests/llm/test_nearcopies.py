@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from hopgauge.llm import nearcopies
 
@@ -34,10 +36,11 @@ def test_large_groups_equal_sets_and_missing_values(spark, monkeypatch):
     assert nearcopies.near_copies(docs.limit(0)).count() == 0
 
 
-def test_further_rounds_leave_no_candidate_out(spark, monkeypatch):
-    """Many rows that are nearer by bits than the one true copy: it is found in a further round."""
-    monkeypatch.setattr(nearcopies, "CLOSEST", 1)
-    monkeypatch.setattr(nearcopies, "FURTHER", (3, None))
+@pytest.mark.parametrize(("most", "weight"), [(1 << 15, 1 << 22), (8, 1 << 22), (1 << 15, 500), (8, 500)])
+def test_no_candidate_is_left_out(spark, monkeypatch, most, weight):
+    """Many rows that are nearer by bits than the one true copy, also at anchors and in groups that are divided."""
+    monkeypatch.setattr(nearcopies, "MOST", most)
+    monkeypatch.setattr(nearcopies, "WEIGHT", weight)
     rng = random.Random(9)
     words = [f"w{k}" for k in range(120)]
     rows = []
