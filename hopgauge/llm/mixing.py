@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopgauge.llm.common import table, written
+from hopgauge.llm.common import frugal, remembered, table, written
 
 BUCKETS = 1 << 14
 #: The driver holds BUCKETS numbers and the square of it a domain.
@@ -70,9 +70,6 @@ class _Buckets(dict):
         return out
 
 
-_buckets = _Buckets()
-
-
 @dataclass
 class Classifier:
     """domains, their log priors, log probabilities of buckets (BUCKETS, domains)."""
@@ -85,7 +82,7 @@ class Classifier:
         """Evidence counts as that of at most 64 words, for words of a text are not independent."""
         score = self.prior.copy()
         if words:
-            hits = np.array([_buckets[w] for w in words])
+            hits = np.array([features(w) for w in words])
             score += (self.given[hits[:, 0]] + self.given[hits[:, 1]]).sum(0) * (min(len(words), 64) / len(words))
         score = np.exp(score - score.max())
         return score / score.sum()
@@ -140,6 +137,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -
     chosen = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = remembered("buckets", _Buckets)
         of: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         held: dict[str, Counter] = {}  # words not yet in the counts of buckets
@@ -147,7 +145,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -
         def settle(domain: str) -> None:
             words = held.pop(domain)
             if words:
-                np.add.at(of[domain], np.array([_buckets[w] for w in words]), np.fromiter(words.values(), np.int64, len(words))[:, None])
+                np.add.at(of[domain], np.array([known[w] for w in words]), np.fromiter(words.values(), np.int64, len(words))[:, None])
 
         for batch in batches:
             for text, domain in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -168,7 +166,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -
     # the check reads MOST_DOMAINS + 1 names at most
     if len(labels.select("domain").distinct().limit(MOST_DOMAINS + 1).collect()) > MOST_DOMAINS:
         raise ValueError(f"more than {MOST_DOMAINS} domains")
-    rows = pairs.mapInArrow(counted, "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = pairs.mapInArrow(frugal(counted), "domain string, bucket int, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = rows.column("domain").to_pylist()
     domains = sorted(set(names)) or ["all"]
     counts, prior = np.zeros((BUCKETS, len(domains))), np.zeros(len(domains))
@@ -181,27 +179,22 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, sample: int = 20_000) -
     return Classifier(domains, np.log((prior + 1) / (prior + 1).sum()), np.log((counts + smooth) / (counts.sum(0) + smooth * BUCKETS)))
 
 
-_models: dict[int, Remembering] = {}
-
-
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, n_tokens (words), posteriors (array in the order of model.domains) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the number of domains
     name = zlib.crc32(model.given.tobytes())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = Remembering(sent.value)
+        classifier = remembered(("mixing", name), lambda: Remembering(sent.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts = [_split(t.as_py()) for t in part.column(1)]
-                p = _models[name].posteriors(texts)
+                p = classifier.posteriors(texts)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), values], ["doc_id", "n_tokens", "posteriors"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, n_tokens long, posteriors array<double>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(predict), "doc_id long, n_tokens long, posteriors array<double>")
 
 
 @dataclass

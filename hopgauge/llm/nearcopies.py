@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopgauge.llm.common import spent, written
+from hopgauge.llm.common import forget, frugal, spent, written
 from hopgauge.llm.graph import components
 from hopgauge.llm.simhash import _patterns, _syndrome, first_rows
 
@@ -88,6 +88,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, k (tells apart rows of one doc_id), node (the text's set), n (its size), sketch (words for the comparison), at (anchors)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # nothing is remembered here
         for batch in batches:
             nodes, sizes, sketches, at = [], [], [], []
             for text in batch.column(2):
@@ -102,7 +103,7 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "node", "n", "sketch", "at"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text")).mapInArrow(of, "doc_id long, k long, node long, n int, sketch binary, at array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text")).mapInArrow(frugal(of), "doc_id long, k long, node long, n int, sketch binary, at array<int>")
 
 
 def _met(part: Column, parts: Column) -> Column:
@@ -198,7 +199,7 @@ def meetings(classes: DataFrame, similarity: float) -> DataFrame:
     cell = F.shiftleft(F.col("anchor").cast("long"), 40) + F.shiftleft(F.col("pair.low").cast("long"), 20) + F.col("pair.high")
     lone = F.when(F.col("pair.low") == F.col("pair.high"), -1).otherwise(F.col("part")).alias("part")
     sent = sent.select(cell.alias("cell"), "node", "n", "sketch", lone).repartition("cell").sortWithinPartitions("cell", "node")
-    found = sent.mapInArrow(lambda batches: _by_key(batches, compare), "cell long, node long, n int, sketch binary, first long, part int, parts int")
+    found = sent.mapInArrow(frugal(lambda batches: _by_key(batches, compare)), "cell long, node long, n int, sketch binary, first long, part int, parts int")
     found = found.withColumn("pair", _met(F.col("part"), F.col("parts")))
     return found.select(F.xxhash64("cell", "first", "pair").alias("meet"), "node", "n", "sketch", lone)
 
@@ -230,7 +231,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingles(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(of, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(frugal(of), "node long, shingles array<long>")
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -249,7 +250,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float)
     keyed = docs.select(F.col("doc_id").cast("long").alias("d0"), F.xxhash64(text).alias("k0"), text.alias("text"))
     texts = keyed.join(needed, F.col("d0").eqNullSafe(F.col("d")) & (F.col("k0") == F.col("k"))).select("node", "text").dropDuplicates(["node"])
     sent = met.join(_sets(texts, shingle), "node").select("meet", "node", "n", "sketch", "part", "shingles").repartition("meet").sortWithinPartitions("meet", "node")
-    links = written(sent.mapInArrow(lambda batches: _by_key(batches, check), "a long, b long").distinct(), "stars")
+    links = written(sent.mapInArrow(frugal(lambda batches: _by_key(batches, check)), "a long, b long").distinct(), "stars")
     spent(met)
     return links
 

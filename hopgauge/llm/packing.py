@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hopgauge.llm.common import partitions, table, written
+from hopgauge.llm.common import frugal, partitions, remembered, table, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Most entries of a worker's memory of tokenized words; it is emptied when full.
@@ -92,14 +92,9 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each Python worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return remembered(("packing", path), lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
@@ -115,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(frugal(cut), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:

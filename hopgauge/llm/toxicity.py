@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hopgauge.llm.common import table, written
+from hopgauge.llm.common import frugal, give_back, remembered, table, written
 
 #: Rows of the table of embeddings, their length, filters of each width, widths.
 ROWS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 #: Characters of a word's beginning.
 STEM = 5
 #: Words that are scored at once, and different words that a worker remembers.
-SLICE, MEMORY = 1 << 18, 1 << 18
+SLICE, MEMORY = 1 << 15, 1 << 17
 #: Characters of a text that is cut into slices, of a text that is learned from, and of all that are.
 LONG, LONGEST, CHARACTERS = 1 << 20, 1 << 18, 1 << 25
 BINS = 200
@@ -192,7 +192,12 @@ class Scorer:
         if new:
             rows = np.array([rows_of(w) for w in new])
             vectors = self.model.embeddings[rows[:, 0]] + self.model.embeddings[rows[:, 1]]
-            self.answers = np.concatenate([self.answers, np.einsum("nd,dkf->nkf", vectors, self.model.kernels, optimize=True).astype(np.float32)])
+            first, end = len(known) + 1 - len(new), len(known) + 1
+            if end > len(self.answers):
+                more = np.zeros((max(end, 2 * len(self.answers)), *self.answers.shape[1:]), np.float32)
+                more[:first] = self.answers[:first]
+                self.answers = more
+            self.answers[first:end] = np.einsum("nd,dkf->nkf", vectors, self.model.kernels, optimize=True)
         numbers, starts, inside = laid_out([np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)) for ws in words], counted)
         return np.maximum.reduceat(convolve(self.answers[numbers], starts, inside), starts, axis=0)
 
@@ -210,9 +215,6 @@ class Scorer:
         return self.of(most)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
@@ -247,7 +249,7 @@ def train_on(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "rows", "toxic"])
 
     # one row a doc_id: equal ones are dropped before they reach the driver
-    got = rows.mapInArrow(hashed, "doc_id long, rows binary, toxic int").dropDuplicates(["doc_id"]).toArrow()
+    got = rows.mapInArrow(frugal(hashed), "doc_id long, rows binary, toxic int").dropDuplicates(["doc_id"]).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("rows", "ascending")])  # training depends on the order
     documents = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 2) for x in got.column("rows")]
     return train(documents, got.column("toxic").to_numpy().astype(np.float32))
@@ -261,25 +263,23 @@ def _sent(spark: SparkSession, model: Model) -> tuple[str, Broadcast]:
 def _in_slices(sent: tuple[str, Broadcast], texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """Scores of texts, of some at a time."""
     name, model = sent
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(model.value)
+    scorer = remembered(("toxicity", name), lambda: Scorer(model.value))
     held: list[str | None] = []
     size = 0
     for text in texts:
         if len(text or "") > LONG:
             if held:
-                yield _scorers[name].scores(held)
+                yield scorer.scores(held)
                 held, size = [], 0
-            yield _scorers[name].long_score(text)
+            yield scorer.long_score(text)
             continue
         held.append(text)
         size += len(text or "") // 6 + 3
         if size >= SLICE:
-            yield _scorers[name].scores(held)
+            yield scorer.scores(held)
             held, size = [], 0
     if held:
-        yield _scorers[name].scores(held)
+        yield scorer.scores(held)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 row += len(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found)], ["doc_id", "lang", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, lang string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(frugal(scored), "doc_id long, lang string, score double")
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, least: int = 30) -> DataFrame:
@@ -330,7 +330,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFr
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *_in_slices(sent, [None if pd.isna(t) else t for t in texts])]))
+            yield pd.Series(np.concatenate([np.zeros(0), *_in_slices(sent, (None if pd.isna(t) else t for t in texts))]))
+            give_back()
 
     name = "_score" + "_" * max(len(c) for c in docs.columns)
     scored = written(docs.withColumn(name, of(F.col("text").cast("string"))), "scored")
