@@ -10,9 +10,10 @@ A window is ``window`` consecutive words; a word goes if a window over it also s
 3. Automata are sharded by phrase: all passages of a phrase meet in one task, which compiles the windows that two or more documents
    hold into an Aho-Corasick automaton (pyahocorasick, over words), each with its earliest document, and streams the passages through it. A task takes
    one phrase after the other and starts a new automaton every PATTERNS windows or BLOCK_WORDS words.
-4. A phrase with more than SHARD different passages is dealt over many shards: its recurring windows are confirmed by a grouping of
-   window hashes over all tasks, dealt into blocks of about PATTERNS windows, and every shard of passages streams through every block. Such a phrase has few recurring
-   windows as a rule (its passages differ at their ends); the work for one with many of both grows with their product, memory does not.
+4. A phrase with more than SHARD different passages is divided: its windows by the words before the phrase, about the square root of ``window``
+   numbers at a time. The words that all windows of such a part share are its phrase (here 44 words), with which 2 and 3 begin anew: parts that only one document
+   holds go, equal ones are one. Where even these are crowded, each window is a part of its own and its phrase, so there is one passage a phrase.
+   Equal windows meet in one automaton at each step; rows grow with the passages, at most ``window`` parts each.
 5. What an automaton locates (first word, end, earliest document) is relative to the passage and is joined back to every occurrence
    of it; an occurrence loses what an earlier document than its own holds.
 
@@ -25,19 +26,20 @@ table gives an empty table.
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from hopgauge.llm.common import partitions, spent, table, written
+from hopgauge.llm.common import frugal, partitions, spent, table, written
 
 WINDOW, PHRASE = 50, 8
-#: Different passages of one phrase that one task takes, and windows and words in one automaton, about.
-SHARD, PATTERNS, BLOCK_WORDS = 1024, 1 << 15, 1 << 19
+#: Different passages of one phrase that one automaton takes, and windows and words in one automaton, about.
+SHARD, PATTERNS, BLOCK_WORDS = 1024, 1 << 13, 1 << 19
 #: Entries of a worker's memory of word hashes; it is emptied when full.
 MEMORY = 1 << 19
 LAST = 2**63 - 1
@@ -130,7 +132,7 @@ def _passages(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
                 columns = [p.view(np.int64), h.view(np.int64), d, k, first.astype(np.int32), last.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["phrase", "passage", "d", "k", "first", "last"])
 
-    return keyed.select("d", "k", "text").mapInArrow(cut, schema)
+    return keyed.select("d", "k", "text").mapInArrow(frugal(cut), schema)
 
 
 def _spans(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -256,78 +258,66 @@ def _meetings(spans: DataFrame, window: int) -> DataFrame:
         yield found()
 
     n = partitions(spans.sparkSession)
-    return spans.select("phrase", "passage", "n", "d", "most", "words").repartition(n, "phrase").sortWithinPartitions("phrase").mapInArrow(stream, FOUND_TYPES)
+    return spans.select("phrase", "passage", "n", "d", "most", "words").repartition(n, "phrase").sortWithinPartitions("phrase").mapInArrow(frugal(stream), FOUND_TYPES)
 
 
-def _windows(spans: DataFrame, window: int) -> DataFrame:
-    """a, b (two hashes), phrase, passage, d, most, at: each window of the spans, at words after the span's first."""
+def _parts(spans: DataFrame, window: int, phrase: int, offsets: int) -> DataFrame:
+    """The spans' windows, divided by the words before their phrase, ``offsets`` numbers of them at a time: phrase and passage of the part, of_phrase and of_passage of its span, at (words before it there), d, most, words.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = []
-            for text in batch.column(4):
-                h = word_hashes(_split(text.as_py()))
-                each.append((window_hashes(h, window), window_hashes(h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(31)), window, 0xC2B2AE3D27D4EB4F)))
-            n = np.array([len(x) for x, _ in each], np.int64)
-            row = np.repeat(np.arange(len(each)), n)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            a, b = (np.concatenate([e[i] for e in each] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
-            kept = [batch.column(i).take(pa.array(row)) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *kept, pa.array(at.astype(np.int32))], ["a", "b", "phrase", "passage", "d", "most", "at"])
-
-    return spans.select("phrase", "passage", "d", "most", "words").mapInArrow(cut, "a long, b long, phrase long, passage long, d long, most long, at int")
-
-
-def _patterns(spans: DataFrame, window: int) -> DataFrame:
-    """phrase, owner, words: recurring windows, as runs of words of the earliest document that holds them."""
-    seen = _windows(spans, window).groupBy("a", "b").agg(F.min(F.struct("d", "phrase", "passage", "at")).alias("of"), F.max("most").alias("most")).where("of.d < most")
-    lists = seen.groupBy("of.phrase", "of.passage").agg(F.collect_list("of.at").alias("at"))
+    A part's phrase are the words that all windows with these numbers share, so equal windows are in parts of one phrase.
+    """
+    schema = pa.schema([(n, pa.int64()) for n in ("phrase", "passage", "of_phrase", "of_passage")] + [("at", pa.int32()), ("d", pa.int64()), ("most", pa.int64()), ("words", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            phrases, ds, texts = [], [], []
-            for phrase, d, text, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words, at = _split(text), np.sort(np.array(at))
-                for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    phrases.append(phrase)
-                    ds.append(d)
-                    texts.append(b" ".join(words[run[0] : run[-1] + window]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.int64()), pa.array(ds, pa.int64()), pa.array(texts, pa.string())], ["phrase", "owner", "words"])
-
-    return spans.join(lists, ["phrase", "passage"]).select("phrase", "d", "words", "at").mapInArrow(cut, "phrase long, owner long, words string")
-
-
-def _crowds(spans: DataFrame, patterns: DataFrame, window: int) -> DataFrame:
-    """phrase, passage, start, end, owner: located in the spans of phrases that are dealt over shards. A phrase's patterns are dealt into blocks."""
-    per_block = max(1, PATTERNS // window)
-    blocks = patterns.groupBy("phrase").agg(F.ceil(F.count(F.lit(1)) / per_block).cast("int").alias("blocks"))
-    shards = F.ceil(F.col("n") / SHARD).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    dealt = spans.join(blocks, "phrase").select("phrase", each(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("passage"), shards).cast("int").alias("shard"), F.lit(1).alias("kind"), "passage", F.lit(0).cast("long").alias("owner"), "words")
-    given = patterns.join(blocks, "phrase").join(spans.groupBy("phrase").agg(F.max(shards).alias("shards")), "phrase")
-    given = given.select("phrase", F.pmod(F.xxhash64("words"), F.col("blocks")).cast("int").alias("block"), each(F.col("shards")).alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("passage"), "owner", "words")
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns: list[tuple] = []
-        texts: list[tuple] = []
-        group = None
-
-        def found() -> pa.RecordBatch:
-            return _batch([(*texts[i][:2], start, end, owner) for i, start, end, owner in locate(patterns, (t[2] for t in texts), window)])
+        from xxhash import xxh3_64_intdigest
 
+        signed = lambda words, seed: xxh3_64_intdigest(b" ".join(words), seed) - (1 << 63)
         for batch in batches:
-            for phrase, block, shard, kind, passage, owner, words in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (phrase, block, shard) != group:
-                    yield found()
-                    patterns, texts, group = [], [], (phrase, block, shard)
-                if kind:
-                    texts.append((phrase, passage, words))
-                else:
-                    patterns.append((owner, words))
-        yield found()
-
-    keys = ["phrase", "block", "shard"]
-    return dealt.unionByName(given).repartition(partitions(spans.sparkSession), *keys).sortWithinPartitions(*keys, "kind").mapInArrow(stream, FOUND_TYPES)
+            rows = []
+            for of_phrase, of_passage, d, most, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                words = _split(text)
+                last = len(words) - window  # the last window's start
+                place = int(np.argmin(window_hashes(word_hashes(words[:window]), phrase)))  # of the phrase, in every window
+                for k in range((place - last) // offsets, place // offsets + 1):
+                    fewest, most_before = max(k * offsets, place - last), min(k * offsets + offsets - 1, place)
+                    part = words[place - most_before : place - fewest + window]
+                    shared = words[place - k * offsets : place - k * offsets - offsets + 1 + window]
+                    rows.append((signed(shared, k + 1), signed(part, 0), of_phrase, of_passage, place - most_before, d, most, b" ".join(part).decode("utf-8", "surrogatepass")))
+            columns = zip(*rows, strict=True) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema.names)
+
+    return spans.select("phrase", "passage", "d", "most", "words").mapInArrow(cut, "phrase long, passage long, of_phrase long, of_passage long, at int, d long, most long, words string")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """found with runs of one passage and owner that overlap as one."""
+    by = Window.partitionBy("phrase", "passage", "owner").orderBy("start")
+    apart = F.coalesce(F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    runs = found.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("phrase", "passage", "owner", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("phrase", "passage", "start", "end", "owner")
+
+
+def _recurring(distinct: DataFrame) -> DataFrame:
+    """phrase, n (its passages) of the phrases that documents of two or more ids hold. distinct: phrase, passage, d, most."""
+    return distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d0"), F.max("most").alias("d1")).where("d0 < d1").select("phrase", "n")
+
+
+def _located(spans: DataFrame, window: int, phrase: int, offsets: int) -> DataFrame:
+    """phrase, passage, start, end, owner: located in the spans; what crowded phrases have is divided first, ``offsets`` numbers at a time."""
+    if not offsets:
+        return _meetings(spans, window)
+    found = _meetings(spans.where(F.col("n") <= SHARD), window)
+    crowd = spans.where(F.col("n") > SHARD)
+    if crowd.isEmpty():
+        return found
+    parts = written(_parts(crowd, window, phrase, offsets), "parts")
+    distinct = parts.groupBy("phrase", "passage").agg(F.min("d").alias("d"), F.max("most").alias("most"), F.first("words").alias("words"))
+    below = written(distinct.join(_recurring(distinct), "phrase").select("phrase", "n", "passage", "d", "most", "words"), "spans")
+    # windows one by one are the last step: then a phrase is a window and has one passage
+    inner = _located(below, window, phrase, 1 if offsets > 1 else 0)
+    back = inner.join(parts.select("phrase", "passage", "of_phrase", "of_passage", "at"), ["phrase", "passage"])
+    back = back.select(F.col("of_phrase").alias("phrase"), F.col("of_passage").alias("passage"), (F.col("start") + F.col("at")).alias("start"), (F.col("end") + F.col("at")).alias("end"), "owner")
+    return found.unionByName(_merged(back))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -335,14 +325,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     keyed = _keyed(docs)
     passages = written(_passages(keyed, window, phrase), "passages")
     distinct = written(passages.groupBy("phrase", "passage").agg(F.min(F.struct("d", "k", "first", "last")).alias("of"), F.max("d").alias("most")), "distinct")
-    phrases = distinct.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("of.d").alias("d0"), F.max("most").alias("d1")).where("d0 < d1").select("phrase", "n")
+    phrases = _recurring(distinct.select("phrase", "passage", "of.d", "most"))
     spans = written(_spans(keyed, distinct.join(phrases, "phrase").select("phrase", "n", "passage", "most", "of.*"), window), "spans")
     spent(distinct)
-    found = _meetings(spans.where(F.col("n") <= SHARD), window)
-    crowd = spans.where(F.col("n") > SHARD)
-    if not crowd.isEmpty():
-        found = found.unionByName(_crowds(crowd, written(_patterns(crowd, window), "patterns"), window))
-    found = written(found, "found")
+    found = written(_located(spans, window, phrase, math.isqrt(window - phrase) + 1), "found")
     spent(spans)
     lost = passages.join(found, ["phrase", "passage"]).where("owner < d")
     return lost.select("d", "k", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))

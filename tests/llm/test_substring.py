@@ -111,3 +111,28 @@ def test_more_different_words_than_there_are_characters(spark):
     text = " ".join(f"{k:x}" for k in range(2_400_000))
     got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame([(1, text), (2, "a " + text)], "doc_id long, text string")).select("doc_id", "n_words", "n_removed").collect()}
     assert (got[1].n_words, got[1].n_removed, got[2].n_words, got[2].n_removed) == (2_400_000, 0, 2_400_001, 2_400_000)
+
+
+def test_crowded_phrases_are_divided(spark, monkeypatch):
+    """Near copies of one text: a crowded phrase's passages make a few parts each, not a row for each of their windows; where parts are crowded, windows are told apart."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(2):
+            text[rng.randrange(len(text))] = f"e{k if k % 3 else k // 10}"
+        rows.append((k, " ".join(text)))
+    made = {}
+    monkeypatch.setattr(substring, "written", lambda df, name, real=substring.written: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    for shard, steps in ((40, 1), (2, 2)):
+        made.clear()
+        monkeypatch.setattr(substring, "SHARD", shard)
+        assert check(spark, rows, 50, 8) > 150 * 100
+        parts = made["parts"]
+        assert len(parts) == steps
+        first = parts[0].count()
+        windows = parts[0].select("of_phrase", "of_passage", "at", "words").rdd.map(lambda r: r.words.count(" ") - 48).sum()
+        assert 3 * first < windows
+        if steps == 2:
+            assert parts[1].select("words").rdd.map(lambda r: r.words.count(" ")).distinct().collect() == [49]
