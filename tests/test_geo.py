@@ -93,6 +93,30 @@ def test_gathered_means_do_not_turn_pixels_into_rows_or_keys(spark, monkeypatch,
     assert all(math.isclose(got[k], v, rel_tol=1e-5, abs_tol=1e-6) for k, v in want.items())
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_small_rasters_are_dealt_to_all_partitions(spark, monkeypatch, limit):
+    """A few kilobytes of rasters make many means: adaptive execution must not join them in one task. Stacks of three; one raster has no data, one too few pixels, one too many."""
+    monkeypatch.setattr(geo, "BROADCAST", limit)
+    monkeypatch.setattr(geo, "STACK", 3)
+    rng = np.random.default_rng(8)
+    data = [(k, "c", [None if rng.random() < 0.2 else float(np.float32(v)) for v in rng.normal(size=64)]) for k in range(40)]
+    data += [(40, "c", None), (41, "c", [1.0] * 7), (42, None, [2.0] * 90)]
+    rasters = spark.createDataFrame(data, "scene_time int, channel string, values array<float>").coalesce(1)
+    rows = rng.uniform(-1, 9, (1300, 4))
+    paths = geo.paths(links(spark, rows), range(9), range(9))
+    out = geo.gather_means(rasters, paths)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    got = {(r.scene_time, r.cml_id): r.path_mean for r in out.collect()}
+    assert len(got) == 43 * 1300 and {r.channel for r in out.where("scene_time = 42").collect()} == {None}
+    weights = {r.cml_id: (r.pix, r.wt) for r in paths.collect()}
+    for (scene, link), mean in got.items():
+        values, total, share = data[scene][2] or [], 0.0, 0.0
+        for p, w in zip(*weights[link], strict=True):
+            if len(values) >= 64 and values[p] is not None:
+                total, share = total + values[p] * w, share + w
+        assert mean == (float(np.float32(total / share)) if share else None)
+
+
 def test_walk_passes_every_cell_once_and_in_order():
     rng = np.random.default_rng(9)
     xs, ys = np.cumsum(rng.uniform(0.1, 2, 30)), np.cumsum(rng.uniform(0.1, 2, 20))[::-1]
