@@ -29,6 +29,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(k).alias("sublink_id"), F.lit(b).alias("base"), F.lit(a).alias("amp")) for k, (b, a) in KINDS.items()])
     # the axis is dense by definition: every series has every slot
     links = _extent(e).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_cml") - 1)).alias("cml_id"), "first_slot", "slots")
+    # from one row: a number of partitions that adaptive execution keeps, else one task makes all slots
+    links = links.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cml_id")
     series = links.select("cml_id", F.explode(kinds).alias("kind"), "first_slot", "slots").select("cml_id", "kind.*", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("slots") - 1)).alias("slot"))
     dense = series.join(bins, ["cml_id", "sublink_id", "slot"], "left")
     value = F.col("s") / F.col("n") / F.lit(100.0)

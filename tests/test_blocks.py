@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopgauge.functions.columns import SERIES
+from hopgauge.jobs import registry
 from hopgauge.operators import blocks, quality, rain
 
 
@@ -75,6 +76,29 @@ def test_no_task_has_a_whole_series_and_samples_are_exchanged_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_no_table_that_grows_is_broadcast_and_both_passes_read_one_exchange(spark):
+    """Spark takes the days and samples made from one row for few; as many rows as days of all series went to every executor, and all slots were made in one task."""
+    small = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "256k"}  # less than the events' bins at sf0.1
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        plan = registry.QUERIES["win_blocks"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert "Broadcast" not in plan and "ReusedExchange" in plan
+    assert "REPARTITION_BY_NUM" in plan  # the links, before they become slots
+
+
+def test_series_without_a_name_are_kept(spark):
+    c = quality.Config()
+    df = samples(spark, 8, 300).withColumns({"cml_id": F.when(F.col("sublink_id") == "a", F.col("cml_id")), "sublink_id": F.when(F.col("sublink_id") == "a", F.col("sublink_id"))}).cache()
+    names = ("isSane_plateaus_rsl", "flag_blackout_fill", "tsl", "rsl", "trsl")
+    got, want = key(blocks.whole_series(blocks.process_blocks(df, c, 37)), *names), key(quality.process_samples(df, c), *names)
+    assert len(got) == len(want) == 600 and any(w[4] for w in want)
+    assert all(g[:7] == w[:7] and (g[7] == w[7] or math.isclose(g[7], w[7], rel_tol=1e-5)) for g, w in zip(got, want, strict=True))
+
+
 def test_numbers_and_cases(spark):
     df = samples(spark, 7).drop("idx")
     got = {(r.sublink_id, r.idx): r.time for r in blocks.numbered(df, 3600).collect()}
